@@ -458,12 +458,12 @@ from found group by strategy"""
 def _hashed(source: str) -> str:
     return f"""with {_PARTS}, texts as ({_payload(source)}),
 words as (
-    select item_id, ('0x' || substr(md5(word), 1, 8))::bigint % 64 as at from (
+    select item_id, ('0x' || substr(md5(word), 1, 8))::bigint % 64 as bucket from (
         select item_id, unnest(list_filter(string_split_regex(lower(doc_text), '[^a-z0-9]+'),
             lambda w: w <> '')) as word from texts)
 ),
-counted as (select item_id, at, count(*) as n from words group by item_id, at)
-select item_id, at, round(cast(cast(n / sqrt(sum(n * n) over (partition by item_id)) as float) as double), 5)
+counted as (select item_id, bucket, count(*) as n from words group by item_id, bucket)
+select item_id, bucket, round(cast(cast(n / sqrt(sum(n * n) over (partition by item_id)) as float) as double), 5)
     as weight from counted"""
 
 

@@ -246,7 +246,7 @@ def _weights(embeddings: DataFrame) -> DataFrame:
         embeddings.select("item_id", F.posexplode("embedding").alias("at", "weight"))
         .filter("weight <> 0")
         .select(
-            "item_id", F.col("at").cast("bigint").alias("at"), F.round(F.col("weight").cast("double"), 5).alias("weight")
+            "item_id", F.col("at").cast("bigint").alias("bucket"), F.round(F.col("weight").cast("double"), 5).alias("weight")
         )
     )
 
