@@ -35,6 +35,18 @@ def null_text(c: Column) -> Column:
     return F.nullif(c, F.lit(LITERAL_NULL))
 
 
+def clean_text(c: Column) -> Column:
+    """``null_text(squash_blanks(c))``, for a plain column.
+
+    Nearly all values are clean already. They cost one containment test and one search; the replacements run
+    on the others. The value is named in each branch, so the branches stay cheap where a filter repeats them.
+    """
+    blank = r"[\p{Zs}\t\n\f\r]"
+    only_null = c.contains(LITERAL_NULL) & c.rlike(f"^{blank}*{LITERAL_NULL}{blank}*$")
+    untidy = c.rlike(r"[\t\n\f\r]|  |^\p{Zs}|\p{Zs}$")
+    return F.when(only_null, F.lit(None)).when(untidy, squash_blanks(c)).otherwise(c)
+
+
 def item_key(title: Column, name: Column, desc: Column) -> Column:
     """Content key of an item; NULL as soon as one part is NULL."""
     return F.md5(F.lower(F.concat(title, name, desc)))
@@ -65,8 +77,10 @@ def _accent_map() -> tuple[str, str]:
 def search_tokens(c: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Lower-case, strip accents, split on anything outside a-z, drop stop words; NULL text gives no token."""
     accented, plain = _accent_map()
-    folded = F.translate(F.lower(F.coalesce(c, F.lit(""))), accented, plain)
-    folded = F.regexp_replace(folded, "[\\u0300-\\u036f]", "")
+    lowered = F.lower(F.coalesce(c, F.lit("")))
+    unaccented = F.regexp_replace(F.translate(lowered, accented, plain), "[\\u0300-\\u036f]", "")
+    # letter-by-letter translation only where the text has something to translate
+    folded = F.when(lowered.rlike(r"[^\x00-\x7f]"), unaccented).otherwise(lowered)
     left_out = ["", *stop_words]
     # array_except would also remove repeats, which term frequencies need
     return F.filter(F.split(folded, "[^a-z]+"), lambda t: ~t.isin(left_out))

@@ -24,7 +24,9 @@ def unique_items(awards: DataFrame) -> DataFrame:
     The rank-1 filter is applied inside each task before the shuffle (window group limit), so an item that
     a third of all awards share sends one row per task.
     """
-    keyed = with_item_id(awards).filter(F.col("item_id").isNotNull()).select(*CATALOGUE_COLUMNS)
+    # the key is NULL exactly where a text part is; testing the parts keeps the hash out of pushed filters
+    complete = awards.dropna(subset=list(ITEM_TEXT))
+    keyed = with_item_id(complete).select(*CATALOGUE_COLUMNS)
     order = [F.asc_nulls_last(c) for c in CATALOGUE_COLUMNS[1:]]
     first = F.row_number().over(W.partitionBy("item_id").orderBy(*order))
     return keyed.withColumn("_rn", first).filter("_rn = 1").drop("_rn")

@@ -7,7 +7,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,26 +21,30 @@ from spendloom.sources.tables import append_new, read_or_empty, refresh_table
 DIMENSIONS = 768
 REQUEST_SIZE = 100
 CHUNK_SIZE = 500
+# Words whose bucket a task remembers.
+KNOWN_WORDS = 100_000
 EMBEDDING_SCHEMA = "item_id string, embedding array<float>"
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
-@lru_cache(maxsize=100_000)
-def _bucket(token: str, dimensions: int) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimensions
-
-
 def hashing_embedder(dimensions: int = DIMENSIONS) -> Callable[[], Embedder]:
     """A deterministic embedder without a model: word counts hashed into buckets, unit length."""
 
     def make() -> Embedder:
+        buckets: dict[str, int] = {}
+
+        def bucket(word: str) -> int:
+            if word not in buckets:
+                if len(buckets) == KNOWN_WORDS:
+                    buckets.clear()
+                buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
+            return buckets[word]
+
         def embed(texts: list[str]) -> list[list[float]]:
             vectors = []
             for text in texts:
-                counts = Counter(
-                    _bucket(word, dimensions) for word in re.findall("[a-z0-9]+", text.lower())
-                )
+                counts = Counter(bucket(word) for word in re.findall("[a-z0-9]+", text.lower()))
                 length = math.sqrt(sum(n * n for n in counts.values())) or 1.0
                 vector = [0.0] * dimensions
                 for at, n in counts.items():

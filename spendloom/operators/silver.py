@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendloom.functions.text import null_text, squash_blanks
+from spendloom.functions.text import clean_text, null_text
 from spendloom.functions.values import money, serial_date
 from spendloom.schema import (
     BLANK_CLEANED,
@@ -74,8 +74,7 @@ def _cleaned(df: DataFrame, strict: bool) -> dict[str, Column]:
     for name in text_columns(df):
         if name in typed:
             continue
-        text = squash_blanks(c(name)) if name in BLANK_CLEANED else c(f"`{name}`")
-        typed[name] = null_text(text)
+        typed[name] = clean_text(c(name)) if name in BLANK_CLEANED else null_text(c(f"`{name}`"))
     return {name: typed[name] for name in df.columns if name in typed}
 
 

@@ -1,9 +1,12 @@
 """BM25 over an inverted index, for batches of queries.
 
 Index tables: ``postings(term, item_id, tf, doc_len)``, ``terms(term, df)`` and a one-row ``stats``. The
-document length travels with the posting, so scoring needs no join per document. Postings are written in
-term order, split over files also inside one term: a query reads the files whose term range it touches, and
-the postings of a very common term are spread over many tasks.
+document length travels with the posting, so scoring needs no join per document.
+
+Postings are clustered by item, not by term. The postings of a very common term are therefore spread evenly
+over all tasks, and the score of an item is summed where its postings lie: after the one exchange that
+clusters the items (none for a stored index, which is bucketed by item), only the k best results of each task
+are shuffled. Inside a bucket postings are sorted by term, so a query skips the row groups of other terms.
 """
 
 from __future__ import annotations
@@ -21,8 +24,13 @@ from spendloom.functions.text import STOP_WORDS, clean_query, search_tokens
 K1 = 1.2
 B = 0.75
 SCORE_DIGITS = 6
-# A join on terms uses this many slices per term, so one common term is not one reduce task.
-SLICES = 16
+BUCKETS = 64
+# Query terms are broadcast up to this many (query, term) rows, some 30 MB; more are joined by shuffle.
+BROADCAST_TERMS = 500_000
+# Clusters the items of an index built on the fly. A hash column of its own, because Spark drops a repartition
+# by a column that happens to cluster the input already and then packs a small input into one task, where
+# many queries would meet all postings.
+SHARD = "item_hash"
 
 
 class TextIndex(NamedTuple):
@@ -36,18 +44,22 @@ def build_index(
     columns: Sequence[str],
     key: str = "item_id",
     stop_words: Sequence[str] = STOP_WORDS,
+    partitions: int | None = None,
 ) -> TextIndex:
     """Index the text columns of the items, whole texts, lazily."""
     text = F.concat_ws(" ", *[F.col(c) for c in columns])
-    docs = items.select(F.col(key).alias("item_id"), search_tokens(text, stop_words).alias("tokens")).select(
-        "item_id", "tokens", F.size("tokens").cast("bigint").alias("doc_len")
+    parts = partitions or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clustered = items.select(
+        F.col(key).alias("item_id"), F.xxhash64(key).alias(SHARD), text.alias("text")
+    ).repartition(parts, SHARD)
+    docs = clustered.select("item_id", SHARD, search_tokens(F.col("text"), stop_words).alias("tokens")).select(
+        "item_id", SHARD, "tokens", F.size("tokens").cast("bigint").alias("doc_len")
     )
-    # counts of one document meet in its own task first; the shuffle carries one row per (item, term)
     postings = (
-        docs.select("item_id", "doc_len", F.explode("tokens").alias("term"))
-        .groupBy("term", "item_id", "doc_len")
+        _exploded(docs, "item_id", SHARD, "doc_len", tokens=F.col("tokens"))
+        .groupBy("term", "item_id", SHARD, "doc_len")
         .agg(F.count(F.lit(1)).alias("tf"))
-        .select("term", "item_id", "tf", "doc_len")
+        .select("term", "item_id", "tf", "doc_len", SHARD)
     )
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = docs.agg(
@@ -57,28 +69,39 @@ def build_index(
     return TextIndex(postings, terms, stats)
 
 
-def write_index(index: TextIndex, path: str, files: int | None = None) -> None:
-    """Rebuild the stored index."""
-    order = ["term", "item_id"]
-    ranged = index.postings.repartitionByRange(files, *order) if files else index.postings.repartitionByRange(*order)
-    ranged.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
-    stored = index.postings.sparkSession.read.parquet(f"{path}/postings")
-    stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+def write_index(index: TextIndex, name: str, path: str, buckets: int = BUCKETS) -> None:
+    """Rebuild the stored index: a postings table bucketed by item, and plain files for the rest."""
+    spark = index.postings.sparkSession
+    (
+        index.postings.drop(SHARD)
+        .repartition(buckets, "item_id")
+        .write.mode("overwrite")
+        .bucketBy(buckets, "item_id")
+        .sortBy("term")
+        .option("path", f"{path}/postings")
+        .saveAsTable(f"{name}_postings")
+    )
+    counted = spark.table(f"{name}_postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counted.write.mode("overwrite").parquet(f"{path}/terms")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
-def read_index(spark: SparkSession, path: str) -> TextIndex:
-    return TextIndex(*[spark.read.parquet(f"{path}/{name}") for name in TextIndex._fields])
+def read_index(spark: SparkSession, name: str, path: str) -> TextIndex:
+    return TextIndex(
+        spark.table(f"{name}_postings"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/stats")
+    )
 
 
 def query_terms(queries: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Distinct (query_id, term) of the cleaned query texts."""
     tokens = F.array_distinct(search_tokens(clean_query(F.col("query_text")), stop_words))
-    return queries.select("query_id", F.explode(tokens).alias("term"))
+    return _exploded(queries, "query_id", tokens=tokens)
 
 
-def _slice(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(SLICES)).cast("int")
+def _exploded(df: DataFrame, *keep: str, tokens: Column) -> DataFrame:
+    """One row per token. The outer form keeps Spark from testing the array for emptiness below the shuffle,
+    which would tokenise every text once more."""
+    return df.select(*keep, F.explode_outer(tokens).alias("term")).filter(F.col("term").isNotNull())
 
 
 def keyword_search(
@@ -96,7 +119,7 @@ def keyword_search(
     wanted = query_terms(queries, stop_words)
     distinct_terms = wanted.select("term").distinct()
     # Only postings and frequencies of asked terms are read on; Catalyst moves the semi join below the
-    # aggregate when the index is built on the fly. No broadcast is forced: Spark decides by measured size.
+    # aggregate when the index is built on the fly.
     postings = index.postings.join(distinct_terms, "term", "left_semi")
     terms = index.terms.join(distinct_terms, "term", "left_semi")
     n_items = index.stats.select("n_items").scalar()
@@ -105,19 +128,23 @@ def keyword_search(
     idf = F.log((n_items - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weighted = wanted.join(terms, "term").select("query_id", "term", idf.alias("idf"))
     length = 1.0 - B + B * F.col("doc_len") / avg_len
+    owner = ["item_id", *[c for c in postings.columns if c == SHARD]]
     parts = postings.select(
         "term",
-        "item_id",
-        _slice(F.col("item_id")).alias("slice"),
+        *owner,
         (F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * length)).alias("part"),
     )
     if scope is not None:
         parts = parts.join(scope.select("item_id"), "item_id", "left_semi")
-    sliced = weighted.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    # The asked terms are counted, then broadcast, so that postings stay where they lie. More terms than the
+    # bound go through a shuffle join, whose skew handling splits the postings of a common term.
+    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        weighted = F.broadcast(weighted)
     scores = (
-        parts.join(sliced, ["term", "slice"])
-        .groupBy("query_id", "item_id")
+        parts.join(weighted, "term")
+        .groupBy("query_id", *owner)
         .agg(F.round(F.sum(F.col("idf") * F.col("part")), SCORE_DIGITS).alias("score"))
+        .select("query_id", "item_id", "score")
     )
     return rank_results(scores, k, "keyword")
 

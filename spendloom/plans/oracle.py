@@ -441,7 +441,7 @@ def _metrics_sql() -> str:
     )
     return f"""with {_PARTS}, {_templated()},
 targets as (
-    select concat_ws('/', target_item_id, question) as query_id, question as query_text, target_item_id
+    select row_number() over (order by target_item_id, question) as query_id, question as query_text, target_item_id
     from templated
 ),
 questions as (

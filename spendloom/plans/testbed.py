@@ -14,6 +14,7 @@ from spendloom.functions.text import item_key
 from spendloom.functions.values import SERIAL_EPOCH
 from spendloom.operators.telemetry import LOG_SCHEMA, with_cost
 from spendloom.schema import DATE_COLUMNS, ITEM_TEXT
+from spendloom.sources.tables import spread
 
 NO_BREAK_SPACE = " "
 
@@ -131,7 +132,8 @@ def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(title)
     )
     texts["item_desc"] = F.when(key % 19 == 3, "NULL").otherwise(texts["item_desc"])
-    rows = lines(spark, sf_dir).select(key, *[expr.alias(name) for name, expr in texts.items()])
+    lineitem = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey")
+    rows = lines(spark, sf_dir, lineitem).select(key, *[expr.alias(name) for name, expr in texts.items()])
     copies = F.when(key % 10 == 3, 2).otherwise(1)
     return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).drop("_copy", "l_orderkey")
 

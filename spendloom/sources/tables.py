@@ -37,6 +37,15 @@ def bronze_from_parquet(spark: SparkSession, paths: Sequence[str], quarter: str)
     return tag_quarter(to_internal(as_text(spark.read.parquet(*paths))), quarter)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan with fewer splits than task slots, hashed over all slots; any larger scan as it is.
+
+    For heavy work per row on a file that cannot be split. A table of many files is never shuffled by this.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)
