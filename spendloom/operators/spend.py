@@ -30,19 +30,30 @@ def _sums(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _report(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Totals and top lists of the partial sums, for each value of the keys (none: over all rows)."""
+def _report(sums: DataFrame, keys: Sequence[str], expected: DataFrame) -> DataFrame:
+    """Totals and top lists of the partial sums, for each value of the keys (none: over all rows).
+
+    ``expected`` has one row per key that must have a total, be it zero.
+    """
     base = [F.col(k) for k in keys]
-    rolled = sums.groupingSets(
+    nothing = expected.select(
+        *base,
+        F.lit(None).cast("string").alias("agency"),
+        F.lit(None).cast("string").alias("region"),
+        F.lit(0).cast("bigint").alias("n"),
+        F.lit(None).cast("decimal(25,2)").alias("amount"),
+    )
+    every = sums.select(*base, "agency", "region", "n", "amount").unionByName(nothing)
+    rolled = every.groupingSets(
         [base, [*base, F.col("agency")], [*base, F.col("region")]], *base, F.col("agency"), F.col("region")
     ).agg(
         F.grouping("agency").alias("_a"),
         F.grouping("region").alias("_r"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("award_count"),
+        F.sum("n").alias("award_count"),
         F.sum("amount").alias("amount"),
     )
     section = F.when(F.col("_a") == 0, "agency").when(F.col("_r") == 0, "region").otherwise("total")
-    named = rolled.select(
+    named = rolled.filter((F.col("award_count") > 0) | (section == "total")).select(
         *base,
         section.alias("section"),
         F.when(F.col("_a") == 0, F.col("agency")).when(F.col("_r") == 0, F.col("region")).alias("name"),
@@ -70,13 +81,16 @@ def spend_report(
     region: str | None = None,
     agency: str | None = None,
 ) -> DataFrame:
-    """Spend of some items, of a filter, or of both; the total is zero when neither is given."""
+    """Spend of some items, of a filter, or of both; the total is zero when neither is given.
+
+    An empty list of items counts as not given, as in a search that found nothing.
+    """
     rows = scoped(awards, region, agency)
-    if items is not None:
+    if items is not None and not items.isEmpty():
         rows = rows.join(items.select("item_id"), "item_id", "left_semi")
     elif not region and not agency:
         rows = rows.filter(F.lit(False))
-    return _report(_sums(rows), [])
+    return _report(_sums(rows), [], _one_row(awards))
 
 
 def sample_awards(awards: DataFrame, pairs: DataFrame | None, keys: Sequence[str] = ()) -> DataFrame:
@@ -111,39 +125,35 @@ def spend_by_query(
     """
     rows = scoped(awards, region, agency)
     wanted = rows.join(pool.select("item_id"), "item_id", "left_semi")
-    report = _report(_sums(wanted, "item_id").join(pool, "item_id"), ["query_id"])
+    sums = _sums(wanted, "item_id").join(pool, "item_id")
     samples = sample_awards(rows, shown, ["query_id"])
-    empty = queries.select("query_id").join(pool.select("query_id"), "query_id", "left_anti")
-    if region or agency:
-        # at most eleven report rows and five samples, carried as one value
-        whole = _as_list(_report(_sums(rows), []), REPORT_COLUMNS)
-        report = report.unionByName(
-            empty.withColumn("r", whole.scalar()).select("query_id", F.inline("r"))
-        )
-        largest = sample_awards(rows, None)
-        place = F.row_number().over(
-            W.orderBy(F.desc("contract_amount"), *[F.asc_nulls_last(c) for c in SAMPLE_COLUMNS])
-        )
-        listed = _as_list(
-            largest.withColumn("position", place.cast("bigint")), (*SAMPLE_COLUMNS, "position")
-        )
-        samples = samples.unionByName(
-            empty.withColumn("s", listed.scalar()).select("query_id", F.inline("s"))
-        )
-    else:
-        report = report.unionByName(
-            empty.select(
-                "query_id",
-                F.lit("total").alias("section"),
-                F.lit(1).cast("bigint").alias("position"),
-                F.lit(None).cast("string").alias("name"),
-                F.lit(0).cast("bigint").alias("award_count"),
-                F.lit(0.0).alias("spend"),
-            )
-        )
+    ids, found = queries.select("query_id"), pool.select("query_id")
+    if not region and not agency:
+        return _report(sums, ["query_id"], ids), samples
+    report = _report(sums, ["query_id"], ids.join(found, "query_id", "left_semi"))
+    empty = ids.join(found, "query_id", "left_anti")
+    # at most eleven report rows and five samples, carried as one value
+    whole = _as_list(_report(_sums(rows), [], _one_row(awards)), REPORT_COLUMNS)
+    report = report.unionByName(
+        empty.withColumn("r", whole.scalar()).select("query_id", F.inline("r"))
+    )
+    largest = sample_awards(rows, None)
+    place = F.row_number().over(
+        W.orderBy(F.desc("contract_amount"), *[F.asc_nulls_last(c) for c in SAMPLE_COLUMNS])
+    )
+    listed = _as_list(
+        largest.withColumn("position", place.cast("bigint")), (*SAMPLE_COLUMNS, "position")
+    )
+    samples = samples.unionByName(
+        empty.withColumn("s", listed.scalar()).select("query_id", F.inline("s"))
+    )
     return report, samples
 
 
+def _one_row(df: DataFrame) -> DataFrame:
+    return df.sparkSession.range(1)
+
+
 def _as_list(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.collect_list(F.struct(*columns)))
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from spendloom.operators.text_index import SCORE_DIGITS, rank_results
 
@@ -78,12 +79,6 @@ class _TopK:
                 )
 
 
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    if isinstance(kind, T.DoubleType):
-        return pa.float64()
-    return pa.string() if isinstance(kind, T.StringType) else pa.int64()
-
-
 def _result_schema(query_type: T.DataType, id_type: T.DataType) -> T.StructType:
     return T.StructType(
         [
@@ -106,7 +101,7 @@ def _block_search(corpus: DataFrame, block: list, k: int, id_type: T.DataType, q
     unit = _unit(np.array([r["query_vector"] for r in block], dtype=np.float64))
     shared = spark.sparkContext.broadcast((query_ids, unit))
     schema = _result_schema(query_type, id_type)
-    arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in schema])
+    arrow = to_arrow_schema(schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners, queries = shared.value
@@ -184,6 +179,7 @@ def _nearest_cells(df: DataFrame, key: str, vector: str, centroids: np.ndarray,
     """One row per (row, probed cell), nearest cells first."""
     shared = df.sparkSession.sparkContext.broadcast(centroids)
     key_type = df.schema[key].dataType
+    key_arrow = to_arrow_type(key_type)
     schema = T.StructType(
         [
             T.StructField(key, key_type),
@@ -200,7 +196,7 @@ def _nearest_cells(df: DataFrame, key: str, vector: str, centroids: np.ndarray,
                 at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(at).cast(_arrow_type(key_type)),
+                        batch.column(0).take(at).cast(key_arrow),
                         batch.column(1).take(at).cast(pa.list_(pa.float32())),
                         pa.array(near.ravel().astype(np.int32)),
                     ],
@@ -232,7 +228,7 @@ def approximate_search(
         "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     )
     schema = _result_schema(query_type, id_type)
-    arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in schema])
+    arrow = to_arrow_schema(schema)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
