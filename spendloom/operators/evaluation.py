@@ -153,26 +153,18 @@ def retrieval_metrics(keyword: DataFrame, vector: DataFrame, targets: DataFrame,
     ``targets`` has (query_id, target_item_id), one row per question; a question whose target is missing
     from a list counts as zero. The fused list is made from the two lists cut at k.
     """
+    wanted = targets.select("query_id", F.col("target_item_id").alias("item_id"))
     kw = keyword.filter(F.col("rank") <= k)
     vec = vector.filter(F.col("rank") <= k)
     fused = reciprocal_rank_fusion(vec, kw, k)
-    lists = (
-        kw.select(F.lit("keyword").alias("strategy"), "query_id", "item_id", "rank")
-        .unionByName(vec.select(F.lit("vector").alias("strategy"), "query_id", "item_id", "rank"))
-        .unionByName(
-            fused.select(
-                F.lit("hybrid").alias("strategy"), "query_id", "item_id", F.col("final_rank").alias("rank")
-            )
-        )
-    )
-    found = lists.join(
-        targets.select("query_id", F.col("target_item_id").alias("item_id")), ["query_id", "item_id"]
-    ).select("strategy", "query_id", "rank")
-    every = targets.select(
-        "query_id", F.explode(F.array(F.lit("keyword"), F.lit("vector"), F.lit("hybrid"))).alias("strategy")
-    )
+    placed = wanted
+    for strategy, ranked, rank in (("keyword", kw, "rank"), ("vector", vec, "rank"), ("hybrid", fused, "final_rank")):
+        at = ranked.select("query_id", "item_id", F.col(rank).alias(strategy))
+        placed = placed.join(at, ["query_id", "item_id"], "left")
+    strategies = ("keyword", "vector", "hybrid")
+    each = F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(s).alias("rank")) for s in strategies])
     return (
-        every.join(found, ["strategy", "query_id"], "left")
+        placed.select(F.inline(each))
         .groupBy("strategy")
         .agg(
             F.count(F.lit(1)).alias("questions"),

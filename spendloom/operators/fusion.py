@@ -70,8 +70,9 @@ def reciprocal_rank_fusion(
 
 
 def candidate_pool(vector: DataFrame, keyword: DataFrame) -> DataFrame:
-    """Distinct (query_id, item_id) of both lists."""
-    return vector.select("query_id", "item_id").union(keyword.select("query_id", "item_id")).distinct()
+    """The (query_id, item_id) of either list; a list names an item once, so the outer join is the set union."""
+    pairs = ["query_id", "item_id"]
+    return vector.select(*pairs).join(keyword.select(*pairs), pairs, "full_outer")
 
 
 def hybrid_search(

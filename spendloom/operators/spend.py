@@ -21,6 +21,7 @@ TOP = 5
 SAMPLE_COLUMNS = (
     "award_ref", "agency", "awardee", "contract_amount", "award_date", "region", "notice_title", "item_name",
 )
+SAMPLE_ROW = (*SAMPLE_COLUMNS, "position")
 REPORT_COLUMNS = ("section", "position", "name", "award_count", "spend")
 
 
@@ -30,21 +31,10 @@ def _sums(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _report(sums: DataFrame, keys: Sequence[str], expected: DataFrame) -> DataFrame:
-    """Totals and top lists of the partial sums, for each value of the keys (none: over all rows).
-
-    ``expected`` has one row per key that must have a total, be it zero.
-    """
+def _report(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Totals and top lists of the partial sums, for each value of the keys (none: over all rows)."""
     base = [F.col(k) for k in keys]
-    nothing = expected.select(
-        *base,
-        F.lit(None).cast("string").alias("agency"),
-        F.lit(None).cast("string").alias("region"),
-        F.lit(0).cast("bigint").alias("n"),
-        F.lit(None).cast("decimal(25,2)").alias("amount"),
-    )
-    every = sums.select(*base, "agency", "region", "n", "amount").unionByName(nothing)
-    rolled = every.groupingSets(
+    rolled = sums.groupingSets(
         [base, [*base, F.col("agency")], [*base, F.col("region")]], *base, F.col("agency"), F.col("region")
     ).agg(
         F.grouping("agency").alias("_a"),
@@ -53,7 +43,7 @@ def _report(sums: DataFrame, keys: Sequence[str], expected: DataFrame) -> DataFr
         F.sum("amount").alias("amount"),
     )
     section = F.when(F.col("_a") == 0, "agency").when(F.col("_r") == 0, "region").otherwise("total")
-    named = rolled.filter((F.col("award_count") > 0) | (section == "total")).select(
+    named = rolled.select(
         *base,
         section.alias("section"),
         F.when(F.col("_a") == 0, F.col("agency")).when(F.col("_r") == 0, F.col("region")).alias("name"),
@@ -90,7 +80,7 @@ def spend_report(
         rows = rows.join(items.select("item_id"), "item_id", "left_semi")
     elif not region and not agency:
         rows = rows.filter(F.lit(False))
-    return _report(_sums(rows), [], _one_row(awards))
+    return _nested(_report(_sums(rows), [])).select(F.inline(_or_zero(F.col("report"))))
 
 
 def sample_awards(awards: DataFrame, pairs: DataFrame | None, keys: Sequence[str] = ()) -> DataFrame:
@@ -125,37 +115,55 @@ def spend_by_query(
     """
     rows = scoped(awards, region, agency)
     wanted = rows.join(pool.select("item_id"), "item_id", "left_semi")
-    sums = _sums(wanted, "item_id").join(pool, "item_id")
-    samples = sample_awards(rows, shown, ["query_id"])
-    ids, found = queries.select("query_id"), pool.select("query_id")
-    if not region and not agency:
-        return _report(sums, ["query_id"], ids), samples
-    report = _report(sums, ["query_id"], ids.join(found, "query_id", "left_semi"))
-    empty = ids.join(found, "query_id", "left_anti")
-    # at most eleven report rows and five samples, carried as one value
-    whole = _as_list(_report(_sums(rows), [], _one_row(awards)), REPORT_COLUMNS)
-    report = report.unionByName(
-        empty.withColumn("r", whole.scalar()).select("query_id", F.inline("r"))
-    )
-    largest = sample_awards(rows, None)
-    place = F.row_number().over(
-        W.orderBy(F.desc("contract_amount"), *[F.asc_nulls_last(c) for c in SAMPLE_COLUMNS])
-    )
-    listed = _as_list(
-        largest.withColumn("position", place.cast("bigint")), (*SAMPLE_COLUMNS, "position")
-    )
-    samples = samples.unionByName(
-        empty.withColumn("s", listed.scalar()).select("query_id", F.inline("s"))
+    report = _nested(_report(_sums(wanted, "item_id").join(pool, "item_id"), ["query_id"]), "query_id")
+    samples = _as_list(sample_awards(rows, shown, ["query_id"]), SAMPLE_ROW, "samples", "query_id")
+    whole_report = whole_samples = None
+    if region or agency:
+        order = W.orderBy(F.desc("contract_amount"), *[F.asc_nulls_last(c) for c in SAMPLE_COLUMNS])
+        largest = sample_awards(rows, None).withColumn("position", F.row_number().over(order).cast("bigint"))
+        whole_report = _nested(_report(_sums(rows), []))
+        whole_samples = _as_list(largest, SAMPLE_ROW, "samples")
+    reports = _per_query(queries, pool, report, whole_report)
+    return (
+        reports.select("query_id", F.inline(_or_zero(F.col("report")))),
+        _per_query(queries, pool, samples, whole_samples).select("query_id", F.inline("samples")),
     )
-    return report, samples
 
 
-def _one_row(df: DataFrame) -> DataFrame:
-    return df.sparkSession.range(1)
+def _per_query(queries: DataFrame, pool: DataFrame, lists: DataFrame, fallback: DataFrame | None) -> DataFrame:
+    """Each query with its list; one without candidates has the fallback's list.
+
+    A list is at most eleven rows, so a query carries it as one value. (A union of per-query frames would do
+    too, but Spark 4.1 can lose the partitioning of such a union when it coalesces its sides.)
+    """
+    listed = queries.select("query_id").join(lists, "query_id", "left")
+    if fallback is None:
+        return listed
+    name = fallback.columns[0]
+    found = pool.select("query_id").distinct().withColumn("found", F.lit(True))
+    value = F.when(F.col("found").isNull(), fallback.scalar()).otherwise(F.col(name))
+    return listed.join(found, "query_id", "left").select("query_id", value.alias(name))
+
+
+def _as_list(df: DataFrame, columns: Sequence[str], name: str, *keys: str) -> DataFrame:
+    """The rows as one array, per key."""
+    return df.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
-def _as_list(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.agg(F.collect_list(F.struct(*columns)))
+def _nested(report: DataFrame, *keys: str) -> DataFrame:
+    return _as_list(report, REPORT_COLUMNS, "report", *keys)
+
+
+def _or_zero(report: Column) -> Column:
+    """The report, or a single zero total where there is none."""
+    zero = F.struct(
+        F.lit("total").alias("section"),
+        F.lit(1).cast("bigint").alias("position"),
+        F.lit(None).cast("string").alias("name"),
+        F.lit(0).cast("bigint").alias("award_count"),
+        F.lit(0.0).alias("spend"),
+    )
+    return F.when(F.size(report) > 0, report).otherwise(F.array(zero))
 
 
 def totals(report: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
