@@ -31,15 +31,17 @@ class Lake:
         refresh_partitions(df, self.path(name))
 
 
-def load_quarters(lake: Lake, bronze: DataFrame, strict: bool = True) -> bool:
-    """Load the quarters found in the bronze rows; rerunning a quarter replaces it.
+def load_quarters(
+    lake: Lake, bronze: DataFrame, strict: bool = True, quarters: list[str] | None = None
+) -> bool:
+    """Load the quarters of the bronze rows; rerunning a quarter replaces it. Naming them saves looking.
 
     Each stage is a written table, so a later stage reads columns instead of repeating the earlier work. The
     gate runs before the catalogue and gold are touched, and stops the load when strict.
     """
     lake.save(bronze, "bronze")
     # only the quarters of this load are read back; there are four per year
-    quarters = [r["quarter"] for r in bronze.select("quarter").distinct().collect()]
+    quarters = quarters or [r["quarter"] for r in bronze.select("quarter").distinct().collect()]
     raw = lake.read("bronze", quarters)
     awards_raw, quarantine = split_by_grain(raw)
     lake.save(awards_raw, "awards_raw")

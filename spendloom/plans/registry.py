@@ -60,17 +60,21 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     bronze = tb.bronze(spark, sf_dir)
-    stage = silver.refine(bronze)
-    checks = quality.quality_checks(
-        typed=stage.typed,
+    awards_raw, quarantine = silver.split_by_grain(bronze)
+    # the de-duplicated rows are a written table, as in a load: three inputs of the gate derive from them
+    path = new_folder(spark, "gate")
+    refresh_table(silver.deduplicate(awards_raw), path)
+    deduped = spark.read.parquet(path)
+    typed = silver.type_and_clean(deduped)
+    return quality.quality_checks(
+        typed=typed,
         bronze=bronze,
-        awards_raw=stage.awards_raw,
-        quarantine=stage.quarantine,
-        deduped=stage.deduped,
-        zero_amount=stage.zero_amount,
-        catalogue=cat.unique_items(stage.typed).withColumn("embedding", F.lit(None).cast("array<float>")),
+        awards_raw=awards_raw,
+        quarantine=quarantine,
+        deduped=deduped,
+        zero_amount=silver.zero_amounts(deduped),
+        catalogue=cat.unique_items(typed).withColumn("embedding", F.lit(None).cast("array<float>")),
     )
-    return checks
 
 
 def _increment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,22 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     assert rows(vector_search.vector_search(frame, self_queries(frame), 3), "query_id", "rank") == whole
 
 
+@pytest.mark.parametrize("copies", [0, 150])
+def test_floors_from_a_sample_lose_nothing(spark, monkeypatch, copies):
+    data, _ = vectors(spark, copies=copies)
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "item_id long, embedding array<float>")
+    monkeypatch.setattr(vector_search, "SAMPLED_SPLITS", 1)
+    monkeypatch.setattr(vector_search, "SAMPLE_ROWS", 60)
+    assert vector_search._splits(frame) > 1
+    block = [{"query_id": i, "query_vector": list(v)} for i, v in enumerate(data[:9])]
+    assert np.isfinite(vector_search._floors(frame, block, 7, 8)).all()
+    found = vector_search.vector_search(frame, self_queries(frame), 7).collect()
+    lists = {q: [] for q in range(len(data))}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        lists[r["query_id"]].append(r["item_id"])
+    assert list(lists.values()) == brute_cosine(data, data, 7)
+
+
 def test_vectors_without_length_and_scope(spark):
     frame = spark.createDataFrame(
         [("a", [0.0, 0.0]), ("b", [1.0, 0.0]), ("c", None), ("d", [0.0, 2.0])], "item_id string, embedding array<float>"
