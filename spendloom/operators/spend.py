@@ -238,3 +238,23 @@ def summary_text(report: DataFrame, samples: DataFrame, queries: DataFrame, n_sa
         .join(contracts, "query_id", "left")
         .select("query_id", F.when(F.col("award_count") > 0, found).otherwise(none).alias("summary"))
     )
+
+
+def context_text(summaries: DataFrame, items: DataFrame) -> DataFrame:
+    """Each summary followed by the items that were found, best first.
+
+    ``items`` has (query_id, final_rank) and the catalogue columns, a few rows per query.
+    """
+    line = F.concat(
+        F.col("final_rank").cast("string"), F.lit(". "),
+        F.concat_ws(" | ", F.substring("item_id", 1, 8), "item_name", "notice_title", "unspsc_desc", "item_desc"),
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("final_rank", line.alias("line"))))
+    found = items.groupBy("query_id").agg(
+        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("found")
+    )
+    listed = F.concat(F.lit("Matched items:\n"), F.col("found"))
+    return (
+        summaries.join(found, "query_id", "left")
+        .select("query_id", F.concat_ws("\n", "summary", listed).alias("context"))
+    )

@@ -256,22 +256,26 @@ def approximate_search(
 ) -> DataFrame:
     """Top k among the items of the cells nearest to each query, scored exactly.
 
-    Cells are cut into slices of about ``CELL_SLICE_ROWS`` items, so a crowded cell is many groups. A group
-    returns at most k rows per query.
+    Cells are cut into slices of about ``CELL_SLICE_ROWS`` items and blocks of about ``BLOCK_ROWS`` queries, so a
+    crowded or much asked cell is many groups. A group returns at most k rows per query.
     """
     cells = _nearest_cells(corpus, "item_id", "embedding", centroids, 1)
     asked = _nearest_cells(queries, "query_id", "query_vector", centroids, probes)
     id_type, query_type = corpus.schema["item_id"].dataType, queries.schema["query_id"].dataType
-    # one small row per cell
-    slices = cells.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(CELL_SLICE_ROWS)).cast("int").alias("slices")
-    )
-    stored = cells.join(slices, "cell").withColumn(
-        "slice", F.pmod(F.xxhash64("item_id"), F.col("slices")).cast("int")
-    )
-    probed = asked.join(slices, "cell").withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    )
+
+    def parts(df: DataFrame, size: int, name: str) -> DataFrame:
+        """One small row per cell."""
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
+
+    def own(key: str, count: str):
+        return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    cut = parts(cells, CELL_SLICE_ROWS, "slices").join(parts(asked, BLOCK_ROWS, "blocks"), "cell")
+    stored = cells.join(cut, "cell").withColumn("slice", own("item_id", "slices")).withColumn("block", every("blocks"))
+    probed = asked.join(cut, "cell").withColumn("block", own("query_id", "blocks")).withColumn("slice", every("slices"))
     schema = _result_schema(query_type, id_type)
     arrow = to_arrow_schema(schema)
 
@@ -290,10 +294,11 @@ def approximate_search(
             top.add(ids, scores, range(at, min(at + step, len(owners))))
         return pa.Table.from_batches(list(top.batches(owners, arrow)), schema=arrow)
 
+    group = ("cell", "slice", "block")
     found = (
-        stored.select("cell", "slice", "item_id", "embedding")
-        .groupBy("cell", "slice")
-        .cogroup(probed.select("cell", "slice", "query_id", "query_vector").groupBy("cell", "slice"))
+        stored.select(*group, "item_id", "embedding")
+        .groupBy(*group)
+        .cogroup(probed.select(*group, "query_id", "query_vector").groupBy(*group))
         .applyInArrow(score, schema)
     )
     return rank_results(found, k, "vector")

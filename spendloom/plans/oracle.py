@@ -546,6 +546,15 @@ select query_id, case when n = 0 then 'No contracts match ''' || query_text || '
 from numbers l"""
 
 
+def _context_sql() -> str:
+    return f"""with summaries as ({_summary_sql()}), listed as ({_discovery_ctes()}
+    select query_id, string_agg(cast(rank as varchar) || '. ' || concat_ws(' | ', substr(item_id, 1, 8), item_name,
+        notice_title, unspsc_desc, item_desc), chr(10) order by rank) as found
+    from keyword_hits join catalogue using (item_id) where rank <= 5 group by query_id)
+select query_id, concat_ws(chr(10), summary, 'Matched items:' || chr(10) || found) as context
+from summaries left join listed using (query_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     every = list(_VALUES)
     gate = _gate_sql()
@@ -653,6 +662,7 @@ def oracle_sql() -> dict[str, str]:
             select f.query_id, scoped.*, row_number() over (partition by f.query_id order by {_SAMPLE_ORDER})
             as position from fused f join scoped using (item_id)) where position <= 5""",
         "spend_answer_text": _summary_sql(),
+        "spend_answer_context": _context_sql(),
         "ground_truth_queries": f"""with {_PARTS}, {_templated()}, {_handwritten()}
             select * from templated union all select question, target_item_id, target_item_name, category, source
             from handwritten""",

@@ -173,6 +173,12 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spend.summary_text(result.spend, result.samples, _discovery_queries(spark, sf_dir))
 
 
+def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = _discovery(spark, sf_dir)
+    summaries = spend.summary_text(result.spend, result.samples, _discovery_queries(spark, sf_dir))
+    return spend.context_text(summaries, ti.with_item_details(result.items, tb.catalogue(spark, sf_dir)))
+
+
 def _ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = tb.item_embeddings(spark, sf_dir)
     queries = tb.label_queries(spark, sf_dir)
@@ -406,6 +412,7 @@ def queries() -> dict[str, Query]:
         "hybrid_top_agencies": lambda s, d: _section(_hybrid(s, d).spend, "agency", "query_id"),
         "hybrid_samples": lambda s, d: comparable(_hybrid(s, d).samples),
         "spend_answer_text": _summary,
+        "spend_answer_context": _context,
         "ann_recall": _ann_recall,
         # evaluation
         "ground_truth_queries": _ground_truth,

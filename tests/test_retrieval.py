@@ -159,6 +159,7 @@ def test_unequal_widths_are_an_error(spark):
 
 def test_approximate_search_with_all_cells_is_exact(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "CELL_SLICE_ROWS", 40)
+    monkeypatch.setattr(vector_search, "BLOCK_ROWS", 30)
     data, frame = vectors(spark)
     queries = self_queries(frame).filter("query_id < 20")
     cells = vector_search.train_cells(frame, 5)
@@ -246,3 +247,11 @@ def test_summary_text(spark):
     assert text[2] == "No contracts match 'zebra'."
     assert text[1].splitlines()[:3] == ["Spend for 'paper'", "Total: ₱458.00 over 5 contracts", "Mean: ₱91.60"]
     assert "- Works: ₱307.00 (2 awards)" in text[1]
+    details = spark.createDataFrame(
+        [(1, 2, "dddddddddd", "Fuel", "t", "d", "15", "Oil"), (1, 1, "aaaaaaaaaa", "Paper", "t", None, "14", "Paper")],
+        "query_id int, final_rank int, item_id string, item_name string, notice_title string, item_desc string, unspsc_code string, unspsc_desc string",
+    )
+    summaries = spend.summary_text(result.spend, result.samples, queries)
+    context = {r["query_id"]: r["context"] for r in spend.context_text(summaries, details).collect()}
+    assert context[1] == text[1] + "\nMatched items:\n1. aaaaaaaa | Paper | t | Paper\n2. dddddddd | Fuel | t | Oil | d"
+    assert context[2] == text[2]
