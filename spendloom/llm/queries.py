@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import simhash, token_counts
+from spendloom.llm import quality, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,13 +25,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.vocabulary("piece_bpe_32k.model"))
     return counted.withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_simhash": op4_simhash, "op8_token_counts": op8_token_counts}
+    return {
+        "op4_simhash": op4_simhash,
+        "op7_quality": op7_quality,
+        "op8_token_counts": op8_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,6 +20,8 @@ _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Everything but ASCII letters, digits and the bytes of other characters.
+PUNCTUATION = np.array([not (chr(b).isalnum() if b < 128 else True) for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -81,7 +83,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+def _cuts(data: np.ndarray, offsets: np.ndarray, size: int, gap: np.ndarray) -> Iterator[tuple[int, int]]:
     start, total = 0, int(offsets[-1])
     while start < total:
         stop = min(start + size, total)
@@ -90,19 +92,21 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[in
             if len(ends):
                 stop = int(ends[-1])
             else:
-                while stop < total and not _WHITE[data[stop]]:
+                while stop < total and not gap[data[stop]]:
                     stop += 1
                 stop = min(stop, int(offsets[np.searchsorted(offsets, start, side="right")]))
         yield start, stop
         start = stop
 
 
-def words(column: pa.Array, lower: bool = False, size: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The words of a column, in order, block by block."""
+def words(
+    column: pa.Array, lower: bool = False, size: int = BLOCK_BYTES, gap: np.ndarray = _WHITE
+) -> Iterator[Block]:
+    """The words of a column, in order, block by block; ``gap`` tells which bytes stand between words."""
     data, offsets = utf8(column)
-    for start, stop in _cuts(data, offsets, size):
+    for start, stop in _cuts(data, offsets, size, gap):
         part = _LOWER[data[start:stop]] if lower else data[start:stop]
-        inside = ~_WHITE[part]
+        inside = ~gap[part]
         first = np.zeros(len(part) + 1, dtype=bool)
         edges = offsets[np.searchsorted(offsets, start) : np.searchsorted(offsets, stop, side="right")] - start
         first[edges] = True
