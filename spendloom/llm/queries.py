@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import language_id, quality, simhash, token_counts
+from spendloom.llm import language_id, quality, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,12 +38,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumnRenamed("id", "doc_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_language_id": op3_language_id,
         "op4_simhash": op4_simhash,
         "op7_quality": op7_quality,
         "op8_token_counts": op8_token_counts,
+        "op10_toxicity": op10_toxicity,
     }
 
 
