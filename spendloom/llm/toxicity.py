@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are lower-cased words and word beginnings of a few lengths, restricted to those whose presence tells the labels
-of the learning sample apart (likelihood-ratio test). Their document frequencies are counted over the whole corpus.
-The examples' unit vectors form an inverted index in blocks of consecutive examples that keeps, per term and block,
-the largest weight. A query visits blocks by descending bound and stops where no unseen example can enter its list,
+of the learning sample apart (likelihood-ratio test) and points to toxic ones. Their document frequencies are counted over the whole corpus.
+The examples' unit vectors, ordered by their heaviest terms, form an inverted index in blocks of consecutive examples
+that keeps, per term and block, the largest weight. A query visits blocks by descending bound and stops where no unseen example can enter its list,
 so the neighbours are exact. Votes weighted by similarity give a share that a logistic curve, fitted on the examples
 with each left out of its own list, turns into a probability; the neighbours are the evidence.
 """
@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 
 from spendloom.llm import labelled
 from spendloom.llm.stored import cut, shipped
-from spendloom.llm.textblocks import PUNCTUATION, Polynomial, map_batches, words
+from spendloom.llm.textblocks import PUNCTUATION, Polynomial, map_batches, mix, words
 
 SAMPLE_ROWS = 12_000
 SAMPLE_TASKS = 8
 TERMS = 4096
 EVIDENCE = 20.0  # least likelihood ratio of a term
+POINTED = 0.5  # least share of toxic examples among those with a term
 BEGINNINGS = (4, 5, 6)
+COPY_HASHES = 4
 NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.7
@@ -63,8 +65,41 @@ def _distinct(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row[at], value[at], np.diff(np.append(at, len(row)))
 
 
+def without_copies(sample: DataFrame) -> DataFrame:
+    """``sample(doc_id, text, mark)`` with one row of each group of near copies, so that copies don't count as evidence.
+
+    Rows with an equal least hash over three-word runs, under any of COPY_HASHES hashes in turn, are copies; the least id
+    stays. Texts without words go.
+    """
+
+    def least(batch: pa.RecordBatch):
+        found = np.full((COPY_HASHES, batch.num_rows), np.iinfo(np.uint64).max, np.uint64)
+        terms = Terms()
+        for b in words(batch.column(1), lower=True, gap=PUNCTUATION):
+            if len(b.row):
+                h = terms.hashes.spans(b.data, b.start, b.end)
+                run = h.copy()
+                for k in (1, 2):
+                    inside = np.flatnonzero(b.row[k:] == b.row[:-k])
+                    run[inside] += h[inside + k] * np.uint64(2 * k + 1)
+                for k in range(COPY_HASHES):
+                    np.minimum.at(found[k], b.row, mix(run + np.uint64(k)))
+        some = pa.array(found[0] < np.iinfo(np.uint64).max)
+        columns = [*batch.columns, *(pa.array(f.view(np.int64)) for f in found)]
+        yield pa.record_batch(columns, names=[*batch.schema.names, *copies]).filter(some)
+
+    copies = [f"copy{k}" for k in range(COPY_HASHES)]
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    kinds = f"doc_id {kind}, text string, mark int, " + ", ".join(f"{c} bigint" for c in copies)
+    rows = sample.selectExpr("doc_id", "text", "cast(mark as int) as mark").mapInArrow(map_batches(least), kinds)
+    for c in copies:
+        kept = rows.groupBy(c).agg(F.min("doc_id").alias("doc_id"))
+        rows = rows.join(kept.select("doc_id"), "doc_id", "left_semi")
+    return rows.select("doc_id", "text", "mark")
+
+
 def telling_terms(sample: DataFrame, terms: int = TERMS, evidence: float = EVIDENCE) -> np.ndarray:
-    """Sorted hashes of at most ``terms`` terms of ``sample(text, mark)`` with the largest likelihood ratio."""
+    """Sorted hashes of at most ``terms`` terms of ``sample(text, mark)`` with the largest likelihood ratio, of those that point to mark 1."""
 
     def present(batch: pa.RecordBatch):
         mark = np.asarray(batch.column(1).cast(pa.int64()))
@@ -89,7 +124,7 @@ def telling_terms(sample: DataFrame, terms: int = TERMS, evidence: float = EVIDE
     counted = sample.select("text", "mark").mapInArrow(map_batches(present), "term bigint, mark bigint")
     best = (
         counted.groupBy("term").agg(F.count("*").alias("n"), F.sum("mark").alias("t"))
-        .where("n > 1").withColumn("ratio", ratio).where(F.col("ratio") >= evidence)
+        .where((F.col("n") > 1) & (t >= POINTED * n)).withColumn("ratio", ratio).where(F.col("ratio") >= evidence)
         .orderBy(F.desc("ratio"), "term").limit(terms)
     )
     return np.sort(np.array([r["term"] for r in best.collect()], dtype=np.int64))
@@ -124,6 +159,7 @@ class Index:
         self.idf = idf
         weights = [self.weigh(p, t) for p, t in vectors]
         full = [k for k, w in enumerate(weights) if len(w)]
+        full.sort(key=lambda k: (vectors[k][0][np.argsort(-weights[k], kind="stable")[:3]].tolist(), k))
         bare = marks[[k for k, w in enumerate(weights) if not len(w)]]
         self.bare = (float(bare.sum()) + 0.5) / (len(bare) + 1) if len(marks) else 0.5
         self.ids, self.marks = [ids[k] for k in full], marks[full].astype(float)
@@ -152,19 +188,23 @@ class Index:
         if not len(places):
             return []
         bound = weights @ self.most[places]
-        found: list[tuple[float, int]] = []
-        for b in np.lexsort((np.arange(len(bound)), -bound)):
-            if bound[b] <= 0 or (len(found) == k and bound[b] < found[-1][0] - 1e-12):
+        scores, ids, floor = np.zeros(0), np.zeros(0, np.int64), 0.0
+        for b in np.lexsort((np.arange(len(bound)), -bound)).tolist():
+            if bound[b] < floor or bound[b] <= 0:
                 break
-            if len(found) == k and bound[b] <= found[-1][0] + 1e-12 and found[-1][1] < b * BLOCK and bound[b] == bound.max():
-                continue  # at best ties, which go to the earlier examples
             score = np.zeros(BLOCK)
             for p, w in zip(places.tolist(), weights.tolist()):
-                if (post := self.postings[p].get(int(b))) is not None:
+                if (post := self.postings[p].get(b)) is not None:
                     score[post[0]] += w * post[1]
-            at = np.flatnonzero(score > 0)
-            found = sorted([*found, *((round(float(score[a]), 12), int(b) * BLOCK + int(a)) for a in at)], key=lambda x: (-x[0], x[1]))[:k]
-        return found
+            at = np.flatnonzero((score > 0) & (score >= floor))
+            if not len(at):
+                continue
+            scores, ids = np.concatenate([scores, score[at].round(12)]), np.concatenate([ids, b * BLOCK + at])
+            best = np.lexsort((ids, -scores))[:k]
+            scores, ids = scores[best], ids[best]
+            if len(scores) == k:
+                floor = scores[-1] - 1e-11
+        return list(zip(scores.tolist(), ids.tolist()))
 
     def share(self, near: list[tuple[float, int]]) -> float:
         total = sum(s for s, _ in near)
@@ -210,7 +250,7 @@ def scored(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS, threshol
 
     Learned from at most ``size`` rows of ``labels(doc_id, toxic)`` whose crc32 remainder mod 3 isn't 1; null labels
     don't count, and a document once marked 1 is 1. ``evidence`` lists the nearest examples with their similarity,
-    nearest first, ties to the smaller place in the sample. Texts without a telling term, empty and null ones among
+    nearest first, ties to the earlier place in the index. Texts without a telling term, empty and null ones among
     them, have no evidence and get the share of toxic examples without one (0.5 if nothing was learned). Repeated
     rows get equal results; an empty table gives an empty result.
     """
@@ -219,7 +259,7 @@ def scored(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_ROWS, threshol
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("mark"))
     )
-    sample = cut(labelled.sample(docs, marks, size).repartition(SAMPLE_TASKS))
+    sample = cut(without_copies(labelled.sample(docs, marks, size).repartition(SAMPLE_TASKS)))
     telling = telling_terms(sample)
     counted = cut(term_counts(docs.select("doc_id", "text"), telling, ["doc_id"]))
     # At most TERMS counts, and ``size`` short vectors.
