@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import language_id, quality, simhash, token_counts, toxicity
+from spendloom.llm import ann_blocks, language_id, piece_fst, quality, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ann_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = ann_blocks.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents"))
 
@@ -38,19 +44,45 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumnRenamed("id", "doc_id")
 
 
+def op9_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return piece_fst.encoded(documents, token_counts.vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_ann_blocks": op2_ann_blocks,
         "op3_language_id": op3_language_id,
         "op4_simhash": op4_simhash,
         "op7_quality": op7_quality,
         "op8_token_counts": op8_token_counts,
+        "op9_piece_fst": op9_piece_fst,
         "op10_toxicity": op10_toxicity,
     }
 
 
+#: The components are summed in their order on both sides, so scores are equal to the last bit.
+OP2_SQL = """
+WITH usable AS (
+    SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])), lambda a, b: a + b) AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+    WHERE q.vec_id % 20 = 0),
+ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ann_blocks": OP2_SQL}
