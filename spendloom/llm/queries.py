@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import ann_blocks, language_id, piece_fst, quality, simhash, token_counts, toxicity
+from spendloom.llm import ann_blocks, decontaminate, language_id, piece_fst, quality, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Query]:
         "op2_ann_blocks": op2_ann_blocks,
         "op3_language_id": op3_language_id,
         "op4_simhash": op4_simhash,
+        "op5_decontamination": op5_decontamination,
         "op7_quality": op7_quality,
         "op8_token_counts": op8_token_counts,
         "op9_piece_fst": op9_piece_fst,
@@ -84,5 +89,36 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+#: The same alignments from joins on the words themselves instead of on hashes.
+OP5_SQL = r"""
+WITH words AS (
+    SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[\x09-\x0D -/:-@\[-`{-~]+'), lambda x: x <> '') AS w
+    FROM documents
+    UNION ALL
+    SELECT 'b', item_id, list_filter(regexp_split_to_array(lower(text), '[\x09-\x0D -/:-@\[-`{-~]+'), lambda x: x <> '') FROM benchmark),
+long AS (SELECT DISTINCT side, id, w FROM words WHERE len(w) >= 8),
+places AS (SELECT side, id, w, unnest(range(1, len(w) - 6)) AS i FROM long),
+keyed AS (
+    SELECT side, id, i, 0 AS m, [w[i], w[i + 1], w[i + 2], w[i + 4], w[i + 5]] AS k FROM places
+    UNION ALL SELECT side, id, i, 1, [w[i], w[i + 1], w[i + 3], w[i + 5], w[i + 6]] FROM places
+    UNION ALL SELECT side, id, i, 2, [w[i], w[i + 2], w[i + 3], w[i + 4], w[i + 7]] FROM places),
+hits AS (
+    SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.i - b.i AS start
+    FROM keyed d JOIN keyed b ON d.side = 'd' AND b.side = 'b' AND d.m = b.m AND d.k = b.k),
+aligned AS (
+    SELECT doc_id, item_id, start,
+           list_transform(range(1, len(b.w) + 1), lambda k: CASE WHEN start + k >= 1 AND d.w[start + k] = b.w[k] THEN 1 ELSE 0 END) AS agree
+    FROM hits JOIN long d ON d.side = 'd' AND d.id = doc_id JOIN long b ON b.side = 'b' AND b.id = item_id),
+found AS (
+    SELECT doc_id, item_id, start, list_sum(agree) AS matched, len(agree) AS words
+    FROM aligned
+    WHERE list_max(list_transform(range(1, len(agree) - least(13, len(agree)) + 2), lambda s: list_sum(agree[s:s + least(13, len(agree)) - 1])))
+          >= 0.8 * least(13, len(agree)))
+SELECT doc_id, item_id, CAST(arg_max(start, matched * 1000000000 - start) AS INTEGER) AS start,
+       CAST(max(matched) AS INTEGER) AS matched, CAST(words AS INTEGER) AS words
+FROM found GROUP BY doc_id, item_id, words
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ann_blocks": OP2_SQL}
+    return {"op2_ann_blocks": OP2_SQL, "op5_decontamination": OP5_SQL}
