@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendloom.session import new_folder
+from spendloom.llm.stored import written
 
 GAP = r"[\x09-\x0D -/:-@\[-`{-~]+"
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 2, 3, 4, 7))
@@ -49,10 +49,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if item_keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         item_keys = F.broadcast(item_keys)  # 24 bytes a row; a larger benchmark is joined by shuffle
     hits = _keys(held, "doc_id", "p").join(item_keys, "key").select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("start"))
-    # Written, so that the planner knows the size of what it joins with the documents.
-    path = new_folder(docs.sparkSession, "leak-hits")
-    hits.distinct().write.parquet(path)
-    hits = docs.sparkSession.read.parquet(path)
+    hits = written(hits.distinct(), "leak-hits")
     near = hits.join(items.withColumnRenamed("h", "own").withColumnRenamed("item_id", "own_id"), F.col("item_id").eqNullSafe(F.col("own_id")))
     near = near.select(F.col("doc_id").alias("hit_id"), "item_id", "start", "own")
     agree = "transform(sequence(0, size(own) - 1), k -> if(start + k >= 0 and coalesce(get(h, start + k) = own[k], false), 1, 0))"
@@ -70,7 +67,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` less the documents that hold a benchmark passage; rows with other or null ids stay as they are."""
-    path = new_folder(docs.sparkSession, "leaked")
-    leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct().write.parquet(path)
-    leaked = docs.sparkSession.read.parquet(path)
+    leaked = written(leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked")
     return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["leaked_id"]), "left_anti")

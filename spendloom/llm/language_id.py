@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spendloom.llm import labelled
-from spendloom.llm.stored import cut, shipped
+from spendloom.llm.stored import cut, shipped, written
 
 SAMPLE_ROWS = 3000  # for each language
 SAMPLE_TASKS = 8
@@ -179,7 +179,7 @@ def train(docs: DataFrame, size: int = SAMPLE_ROWS) -> Model:
     )
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= size)
-    texts = cut(rows.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text").repartition(SAMPLE_TASKS))
+    texts = cut(rows.join(written(chosen.drop("n"), "languages"), ["doc_id", "lang"], "left_semi").select("lang", "text").repartition(SAMPLE_TASKS))
 
     def bundles(batches):
         space, total = Space(), defaultdict(lambda: np.zeros(DIMENSION))

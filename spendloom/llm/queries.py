@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import ann_blocks, decontaminate, language_id, piece_fst, quality, simhash, token_counts, toxicity
+from spendloom.llm import ann_blocks, decontaminate, language_id, piece_fst, quality, simhash, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = substring_dedup.repeated_passages(documents)
+    return found.withColumnRenamed("id", "doc_id").withColumnRenamed("first_id", "first_doc_id")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op3_language_id": op3_language_id,
         "op4_simhash": op4_simhash,
         "op5_decontamination": op5_decontamination,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_quality": op7_quality,
         "op8_token_counts": op8_token_counts,
         "op9_piece_fst": op9_piece_fst,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendloom.session import shared_folder
+from spendloom.session import new_folder, shared_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -15,6 +15,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, whose size the planner knows when it chooses a join."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shipped(spark: SparkSession, value):
     """Broadcast of a model whose size its caller bounds; a worker keeps one copy for all its tasks."""
     return spark.sparkContext.broadcast(value)
