@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import ann_blocks, decontaminate, language_id, piece_fst, quality, simhash, substring_dedup, token_counts, toxicity
+from spendloom.llm import ann_blocks, decontaminate, html_text, language_id, piece_fst, quality, simhash, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text")
+
+
 def op2_ann_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     found = ann_blocks.nearest(vectors, vectors.where("vec_id % 20 = 0"))
@@ -65,6 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_html_text": op1_html_text,
         "op2_ann_blocks": op2_ann_blocks,
         "op3_language_id": op3_language_id,
         "op4_simhash": op4_simhash,
