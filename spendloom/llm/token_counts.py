@@ -63,7 +63,8 @@ class Counter:
         return [len(x.ids) for x in self.model.encode_batch(texts, add_special_tokens=False)]
 
     def _by_piece(self, texts: list[str]) -> list[int]:
-        parts = [_BEFORE_SPACES.split(t) for t in texts]
+        # The model reads its own mark as a space.
+        parts = [_BEFORE_SPACES.split(t.replace("▁", " ")) for t in texts]
         known = self.known
         unknown = list(set(chain.from_iterable(parts)).difference(known))
         if len(known) + len(unknown) > self.remembered:
