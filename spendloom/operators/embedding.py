@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spendloom.functions.text import item_payload
 from spendloom.functions.values import PHP_PER_USD, embed_cost, token_estimate
 from spendloom.schema import ITEM_TEXT
+from spendloom.session import new_folder
 from spendloom.sources.tables import append_new, read_or_empty, refresh_table
 
 DIMENSIONS = 768
@@ -97,10 +98,12 @@ def embed_pending(
     make_embedder: Callable[[], Embedder],
     dimensions: int = DIMENSIONS,
     limit: int | None = None,
+    chunk: int | None = None,
 ) -> None:
     """Embed what is missing and append it; vectors of another width are rebuilt from scratch.
 
-    Interrupted runs resume by themselves, because stored items are no longer pending.
+    With ``chunk``, items are committed in parts of about so many, by the hash of their id; what a part wrote stays
+    if a later one fails, and the next run embeds only the rest. Without it all are committed together.
     """
     spark = items.sparkSession
     stored = read_or_empty(spark, path, EMBEDDING_SCHEMA)
@@ -108,16 +111,23 @@ def embed_pending(
         refresh_table(embed(next_chunk(items, limit) if limit else items, make_embedder), path)
         return
     todo = pending_items(items, stored)
-    append_new(embed(next_chunk(todo, limit) if limit else todo, make_embedder), path, "item_id")
+    todo = next_chunk(todo, limit) if limit else todo
+    parts = -(-todo.count() // chunk) if chunk else 1
+    for part in range(parts):
+        some = todo.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else todo
+        append_new(embed(some, make_embedder), path, "item_id")
 
 
-def numbered(items: DataFrame, prefix: int = 3) -> DataFrame:
-    """Items with their position in id order, counted without one global sort.
+def numbered(items: DataFrame) -> DataFrame:
+    """Items with their position in id order, without one global sort.
 
-    Item ids are md5 hashes, so their first hex digits cut the ids into even ranges: a count per range, a
-    running sum over the small table of ranges (16**prefix rows), and a position inside each range.
+    The items are written in ranges of the id with the number of their range, so that it stays the same for both
+    uses; a count per range, a running sum over the counts (one row per task of the write), and a position inside
+    each range.
     """
-    ranged = items.withColumn("_range", F.substring("item_id", 1, prefix))
+    path = new_folder(items.sparkSession, "ranged")
+    refresh_table(items.repartitionByRange("item_id").withColumn("_range", F.spark_partition_id()), path)
+    ranged = items.sparkSession.read.parquet(path)
     before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")
     starts = (
         ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", before.alias("_start"))

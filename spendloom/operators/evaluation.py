@@ -127,7 +127,11 @@ def enriched_sample(
     sample_size: int = 50,
     oversample: int = 3,
 ) -> DataFrame:
-    """Sampled items with their largest award, for writing questions about; done items are left out."""
+    """Sampled items with their largest award, for writing questions about, until ``sample_size`` are done.
+
+    What is missing is drawn ``oversample`` times over; done items and short names are left out of the draw.
+    """
+    missing = max(0, sample_size - done.select("item_id").distinct().limit(sample_size).count())
     named = catalogue.filter((F.length("item_name") > 3) & (F.col("item_name") != "NULL"))
     joined = (
         named.join(embedded.select("item_id"), "item_id", "left_semi")
@@ -142,9 +146,10 @@ def enriched_sample(
             F.coalesce(F.col("contract_amount").cast("double"), F.lit(0.0)).alias("amount"),
         )
     )
-    drawn = stable_sample(joined, "item_id", sample_size * oversample)
+    drawn = stable_sample(joined, "item_id", missing * oversample)
     long_enough = (F.length("item_name") >= 4) | (F.length("notice_title") >= 4)
-    return drawn.join(done.select("item_id"), "item_id", "left_anti").filter(long_enough)
+    left = drawn.join(done.select("item_id"), "item_id", "left_anti").filter(long_enough)
+    return stable_sample(left, "item_id", missing)
 
 
 def retrieval_metrics(keyword: DataFrame, vector: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ Spark side but word lists and parameters.
 from __future__ import annotations
 
 from spendloom.functions.text import STOP_WORDS
-from spendloom.operators.audit import FORBIDDEN_WORDS
+from spendloom.operators.audit import ENGINE_WORDS, FORBIDDEN_WORDS
 from spendloom.operators.evaluation import BENCHMARKS
 from spendloom.plans.registry import TERMS
 
@@ -490,9 +490,12 @@ def _audit_sql() -> str:
         "'INSERT INTO all_awards VALUES (''' || ref || ''')'",
         "'   ;'",
         "'SELECT COUNT(*)' || chr(10) || 'FROM all_awards' || chr(10) || 'WHERE \"Contract Amount\" >' || ref",
+        "'SELECT java_method(''java.lang.System'', ''getProperty'', ''' || ref || ''') FROM all_awards'",
+        "'SELECT COUNT(*) FROM parquet.`/lake/' || ref || '`'",
     ]
     picked = " ".join(f"when {i} then {s}" for i, s in enumerate(shapes))
     words = ", ".join(f"'{w}'" for w in FORBIDDEN_WORDS)
+    engine = ", ".join(f"'{w}'" for w in ENGINE_WORDS)
     return f"""with statements as (
     select o_orderkey as log_id, case o_orderkey % {len(shapes)} {picked} end as sql
     from (select o_orderkey, cast(o_orderkey as varchar) as ref from orders)
@@ -502,13 +505,19 @@ split as (
     select *, list_filter(string_split_regex(upper(text), '[\\s(),]+'), lambda w: w <> '') as words from cut
 ),
 judged as (
-    select *, list_sort(list_distinct(list_filter(words, lambda w: w in ({words})))) as forbidden from split
+    select *, list_sort(list_distinct(list_filter(words, lambda w: w in ({words})))) as forbidden,
+        list_sort(list_filter(string_split_regex(upper(text), '[^A-Z_0-9]+'), lambda w: w in ({engine}))) as engine,
+        list_filter(list_transform(regexp_extract_all(text, '(?i)\\bFROM\\s+([^\\s(),;]+)', 1), lambda n: lower(replace(n, '`', ''))),
+            lambda n: n not in ('all_awards', 'gold.all_awards')
+                and not list_contains(regexp_extract_all(text, '(?i)\\bWITH\\s+(\\w+)\\s+AS', 1), n)) as foreigners from split
 ),
 reasoned as (
     select *, case when contains(text, ';') then 'several statements'
         when len(words) = 0 then 'empty statement'
         when words[1] not in ('SELECT', 'WITH') then 'statement type ' || words[1]
         when len(forbidden) > 0 then 'forbidden word ' || array_to_string(forbidden, ', ')
+        when len(engine) > 0 then 'forbidden word ' || array_to_string(engine, ', ')
+        when len(foreigners) > 0 then 'foreign table ' || array_to_string(foreigners, ', ')
         else '' end as reason,
         regexp_replace(text, '("Award Date"|\\bAward Date\\b)\\s+LIKE', 'CAST("Award Date" AS STRING) LIKE', 'gi') as dated
     from judged
@@ -584,6 +593,12 @@ def oracle_sql() -> dict[str, str]:
             from checks""",
         "quarter_tables": f"""with {_AWARDS} select quarter, 'y' || replace(lower(quarter), '-', '_') as prefix,
             count(*) as awards from awards group by quarter""",
+        "reload_quarter": f"""with {_BRONZE}, kinds as (select quarter, case when contract_amount is null
+            or contract_amount = 'NULL' then 'quarantine_no_award' else 'awards_raw' end as table_name from bronze)
+            select quarter, table_name, count(*) as rows from kinds
+            where not (quarter = '1995-Q1' and table_name = 'quarantine_no_award') group by all""",
+        "quarters_union": f"""with {_BRONZE} select award_ref, region,
+            case when quarter >= '1995-Q1' then awardee end as awardee, quarter from bronze""",
         "unique_items": f"with {_TYPED}, {_items('typed', 'items')} select * from items",
         "unique_items_increment": f"""with {_AWARDS}, {_items('awards', 'items')}
             select * from items where item_id not in (
@@ -666,18 +681,28 @@ def oracle_sql() -> dict[str, str]:
         "ground_truth_queries": f"""with {_PARTS}, {_templated()}, {_handwritten()}
             select * from templated union all select question, target_item_id, target_item_name, category, source
             from handwritten""",
+        "ground_truth_json": f"""with {_PARTS}, {_templated()}, {_handwritten()}
+            select * from templated union all select question, target_item_id, target_item_name, category, source
+            from handwritten""",
         "enriched_sample": f"""with {_AWARDS}, {_PARTS}, best as (
             select * from (select *, row_number() over (partition by item_id
                 order by contract_amount desc, award_ref, agency, awardee, region) as rn from awards) where rn = 1),
             drawn as (select c.item_id, c.notice_title, c.item_name, c.item_desc, c.unspsc_desc as category,
                 agency, region, awardee, cast(contract_amount as double) as amount
                 from catalogue c join best using (item_id) where len(c.item_name) > 3
-                and c.item_id in (select item_id from vectors) order by md5(c.item_id), c.item_id limit 150)
-            select * from drawn where item_id not in (select target_item_id from label_queries)""",
+                and c.item_id in (select item_id from vectors)),
+            missing as (select greatest(0, 50 - count(distinct target_item_id)) as n from label_queries),
+            lots as (select *, row_number() over (order by md5(item_id), item_id) as lot from drawn),
+            kept as (select *, row_number() over (order by lot) as place from lots
+                where lot <= 3 * (select n from missing) and item_id not in (select target_item_id from label_queries))
+            select * exclude (lot, place) from kept where place <= (select n from missing)""",
         "retrieval_metrics": _metrics_sql(),
         "answer_scorecard": _scorecard(),
         "pending_embeddings": f"""with {_PARTS} select item_id from catalogue
             where item_id not in (select item_id from vectors)""",
+        "next_chunk": f"""with {_PARTS} select item_id from catalogue
+            where item_id not in (select item_id from vectors) order by item_id limit 500""",
+        "embed_rebuild": _hashed("catalogue"),
         "doc_text": f"with {_TYPED}, {_items('typed', 'items')} {_payload('items')}",
         "embedding_cost": f"""with {_PARTS}, pending as (
             select * from catalogue where item_id not in (select item_id from vectors)),
@@ -713,6 +738,10 @@ def oracle_sql() -> dict[str, str]:
             cast(sum(prompt_tokens) as bigint) as prompt_tokens, cast(sum(total_tokens) as bigint) as total_tokens,
             round((sum(prompt_tokens) * 0.075::double + (sum(total_tokens) - sum(prompt_tokens)) * 0.30::double)
                 / 1000000.0::double, 8) as cost_usd from log group by query""",
+        "append_log": f"with {_LOG} select id, query, latency_ms from log",
+        "log_evolution": f"""with {_LOG} select id, query, case when query <> 'click' then feedback end as feedback,
+            case when query = 'click' then 0 else prompt_tokens end as prompt_tokens,
+            case when query = 'click' then 0 else total_tokens end as total_tokens from log""",
         "query_audit": _audit_sql(),
         "embed_stream": _hashed("catalogue"),
         "catalog_stream": f"with {_AWARDS}, {_items('awards', 'items')} select * from items",

@@ -19,8 +19,10 @@ from spendloom.operators import text_index as ti
 from spendloom.operators.audit import audit_statements, run_sql
 from spendloom.plans import questions as q
 from spendloom.plans import testbed as tb
+from spendloom.plans.medallion import Lake
 from spendloom.schema import CATALOGUE_COLUMNS, ITEM_TEXT
 from spendloom.session import new_folder
+from spendloom.sources import evalset
 from spendloom.sources.tables import refresh_table
 from spendloom.streaming import jobs
 
@@ -34,6 +36,7 @@ TERMS = (
     ("submarine hull sections", "submarine", "Vessels"),
 )
 EMBED_WIDTH = 64
+RELOADED = "1995-Q1"
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -77,6 +80,29 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per table and quarter after one quarter was loaded again without any quarantined row."""
+    lake, bronze = Lake(spark, new_folder(spark, "reload")), tb.bronze(spark, sf_dir)
+    again = bronze.filter((F.col("quarter") == RELOADED) & F.col("contract_amount").isNotNull() & (F.col("contract_amount") != "NULL"))
+    for rows, loaded in ((bronze, []), (again, [RELOADED])):
+        for name, part in zip(("awards_raw", "quarantine_no_award"), silver.split_by_grain(rows)):
+            lake.save(part, name, loaded)
+    counted = [
+        lake.read(name).groupBy("quarter").agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name))
+        for name in ("awards_raw", "quarantine_no_award")
+    ]
+    return counted[0].unionByName(counted[1])
+
+
+def _quarters_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Awards of quarters that have a column more than the quarters before them."""
+    lake = Lake(spark, new_folder(spark, "quarters"))
+    awards = tb.bronze(spark, sf_dir).select("award_ref", "region", "awardee", "quarter")
+    lake.save(awards.filter(F.col("quarter") < RELOADED).drop("awardee"), "awards")
+    lake.save(awards.filter(F.col("quarter") >= RELOADED), "awards")
+    return lake.read("awards").select("award_ref", "region", "awardee", "quarter")
+
+
 def _increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     awards = tb.awards(spark, sf_dir).select("item_id", *CATALOGUE_COLUMNS[1:], "quarter")
     first = awards.select(F.min("quarter")).scalar()
@@ -235,6 +261,23 @@ def _feedback_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.with_feedback(unrated, given).select("id", "query", "feedback")
 
 
+def _append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log after a batch that holds every call twice, and a replay of it."""
+    path, log = f"{new_folder(spark, 'log')}/calls", _log(spark, sf_dir)
+    for batch in (log.unionByName(log), log):
+        telemetry.append_log(batch, path)
+    return comparable(telemetry.read_log(spark, path).select("id", "query", "latency_ms"))
+
+
+def _log_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log whose clicks were written before feedback and tokens were logged."""
+    path, log = f"{new_folder(spark, 'log')}/calls", _log(spark, sf_dir)
+    old = F.col("query") == "click"
+    log.filter(old).drop(*telemetry.LOG_DEFAULTS).write.parquet(path)
+    telemetry.append_log(log.filter(~old), path)
+    return comparable(telemetry.read_log(spark, path).select("id", "query", "feedback", "prompt_tokens", "total_tokens"))
+
+
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_statements(tb.logged_statements(spark, sf_dir)).drop("sql")
 
@@ -265,6 +308,26 @@ def _weights(embeddings: DataFrame) -> DataFrame:
     )
 
 
+def _embed_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors after a change of their width."""
+    path, items = f"{new_folder(spark, 'rebuild')}/embeddings", tb.catalogue(spark, sf_dir)
+    for width in (EMBED_WIDTH // 2, EMBED_WIDTH):
+        emb.embed_pending(items, path, emb.hashing_embedder(width), width)
+    return _weights(spark.read.parquet(path))
+
+
+def _ground_truth_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{new_folder(spark, 'questions')}/set"
+    evalset.write_json(_ground_truth(spark, sf_dir), path)
+    return evalset.read_questions(spark, path)
+
+
+def _in_files(df: DataFrame, path: str, files: int = 4) -> str:
+    """The frame as a few files below the path, for a stream of as many batches."""
+    df.repartition(files).write.parquet(path)
+    return path
+
+
 def _embed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "embed-stream")
     items = tb.catalogue(spark, sf_dir)
@@ -280,7 +343,8 @@ def _embed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _catalogue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "catalogue-stream")
     schema = tb.table(spark, sf_dir, "lineitem").schema
-    stream = jobs.read_files(spark, sf_dir, schema, glob="lineitem.parquet")
+    source = _in_files(tb.table(spark, sf_dir, "lineitem"), f"{root}/lines")
+    stream = jobs.read_files(spark, source, schema, files_per_batch=1)
     jobs.run_to_end(
         jobs.grow_catalogue(
             stream, f"{root}/items", f"{root}/checkpoint", lambda batch: tb.awards(spark, sf_dir, batch)
@@ -292,8 +356,10 @@ def _catalogue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _telemetry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "telemetry-stream")
     schema = tb.table(spark, sf_dir, "events").schema
-    log = tb.query_log(jobs.read_files(spark, sf_dir, schema, glob="events.parquet"))
-    jobs.run_to_end(jobs.stream_telemetry(log, f"{root}/windows", f"{root}/checkpoint"))
+    # the files hold calls of all times, so none is late
+    source = _in_files(tb.table(spark, sf_dir, "events"), f"{root}/events")
+    log = tb.query_log(jobs.read_files(spark, source, schema, files_per_batch=1))
+    jobs.run_to_end(jobs.stream_telemetry(log, f"{root}/windows", f"{root}/checkpoint", lateness="20000 days"))
     return comparable(jobs.read_telemetry(spark, f"{root}/windows"))
 
 
@@ -332,6 +398,8 @@ def queries() -> dict[str, Query]:
         "quality_gate": lambda s, d: _gate(s, d).drop("detail"),
         "quality_gate_summary": lambda s, d: quality.gate_summary(_gate(s, d)),
         "quarter_tables": _quarter_tables,
+        "reload_quarter": _reload,
+        "quarters_union": _quarters_union,
         # catalogue and gold
         "unique_items": lambda s, d: cat.unique_items(_typed(s, d)),
         "unique_items_increment": _increment,
@@ -418,11 +486,16 @@ def queries() -> dict[str, Query]:
         "ground_truth_queries": _ground_truth,
         "enriched_sample": _enriched,
         "retrieval_metrics": _retrieval_metrics,
+        "ground_truth_json": _ground_truth_json,
         "answer_scorecard": lambda s, d: ev.answer_scorecard(tb.answer_scores(s, d)),
         # embedding jobs
         "pending_embeddings": lambda s, d: emb.pending_items(tb.catalogue(s, d), tb.item_embeddings(s, d)).select(
             "item_id"
         ),
+        "next_chunk": lambda s, d: emb.next_chunk(
+            emb.pending_items(tb.catalogue(s, d), tb.item_embeddings(s, d))
+        ).select("item_id"),
+        "embed_rebuild": _embed_rebuild,
         "doc_text": lambda s, d: emb.payloads(cat.unique_items(_typed(s, d))),
         "embedding_cost": lambda s, d: comparable(
             emb.chunk_log(emb.pending_items(tb.catalogue(s, d), tb.item_embeddings(s, d)))
@@ -436,6 +509,8 @@ def queries() -> dict[str, Query]:
         "telemetry_latest": on_log(telemetry.latest_queries),
         "telemetry_latency": on_log(telemetry.latency_series),
         "telemetry_cost": on_log(lambda log: telemetry.cost_by(log, "query")),
+        "append_log": _append_log,
+        "log_evolution": _log_evolution,
         "query_audit": _audit,
         # streams
         "embed_stream": _embed_stream,

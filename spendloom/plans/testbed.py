@@ -14,7 +14,6 @@ from spendloom.functions.text import item_key
 from spendloom.functions.values import SERIAL_EPOCH
 from spendloom.operators.telemetry import LOG_SCHEMA, with_cost
 from spendloom.schema import DATE_COLUMNS, ITEM_TEXT
-from spendloom.sources.tables import spread
 
 NO_BREAK_SPACE = " "
 
@@ -132,8 +131,7 @@ def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(title)
     )
     texts["item_desc"] = F.when(key % 19 == 3, "NULL").otherwise(texts["item_desc"])
-    lineitem = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey")
-    rows = lines(spark, sf_dir, lineitem).select(key, *[expr.alias(name) for name, expr in texts.items()])
+    rows = lines(spark, sf_dir, table(spark, sf_dir, "lineitem")).select(key, *[expr.alias(name) for name, expr in texts.items()])
     copies = F.when(key % 10 == 3, 2).otherwise(1)
     return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).drop("_copy", "l_orderkey")
 
@@ -230,6 +228,8 @@ def logged_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("INSERT INTO all_awards VALUES ('", ref, "')"),
         text("   ;"),
         text("SELECT COUNT(*)\nFROM all_awards\nWHERE \"Contract Amount\" >", ref),
+        text("SELECT java_method('java.lang.System', 'getProperty', '", ref, "') FROM all_awards"),
+        text("SELECT COUNT(*) FROM parquet.`/lake/", ref, "`"),
     ]
     pick = F.pmod(c("o_orderkey"), F.lit(len(shapes))).cast("int")
     return table(spark, sf_dir, "orders").select(

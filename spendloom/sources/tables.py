@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,21 +38,16 @@ def bronze_from_parquet(spark: SparkSession, paths: Sequence[str], quarter: str)
     return tag_quarter(to_internal(as_text(spark.read.parquet(*paths))), quarter)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """A scan with fewer splits than task slots, hashed over all slots; any larger scan as it is.
-
-    For heavy work per row on a file that cannot be split. A table of many files is never shuffled by this.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's file system and path, which know every store that Spark reads and writes."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+    """Whether the path holds anything but markers; what is wrong with a table shows when it is read."""
+    store, folder = _folder(spark, path)
+    return store.exists(folder) and any(s.getPath().getName()[0] not in "._" for s in store.listStatus(folder))
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -61,14 +57,33 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return spark.createDataFrame([], schema)
 
 
-def refresh_partitions(df: DataFrame, path: str, by: str = "quarter") -> None:
-    """Replace exactly the partitions that occur in the frame, so a quarter can be rerun."""
+def refresh_partitions(df: DataFrame, path: str, by: str = "quarter", loaded: Iterable[str] = ()) -> set[str]:
+    """Replace the partitions that occur in the frame, and empty those of ``loaded`` that don't; others stay.
+
+    Returns the values that occurred, observed while writing. They are few by nature, such as quarters.
+    """
+    seen = Observation()
     (
-        df.write.mode("overwrite")
+        df.observe(seen, F.collect_set(by).alias("values"))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(by)
         .parquet(path)
     )
+    written = set(seen.get["values"])
+    _drop_partitions(df.sparkSession, path, by, set(loaded) - written)
+    return written
+
+
+def _drop_partitions(spark: SparkSession, path: str, by: str, values: set[str]) -> None:
+    """Delete the folders of some partitions."""
+    if not values:
+        return
+    store, folder = _folder(spark, path)
+    for status in store.listStatus(folder) if store.exists(folder) else []:
+        name, _, value = status.getPath().getName().partition("=")
+        if name == by and unquote(value) in values:
+            store.delete(status.getPath(), True)
 
 
 def refresh_table(df: DataFrame, path: str) -> None:
@@ -80,11 +95,17 @@ def new_keys(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return incoming.filter(F.col(key).isNotNull()).join(existing.select(key), key, "left_anti")
 
 
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """The least row of each key, in the order of the other columns."""
+    order = W.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in df.columns if c != key] or [key])
+    return df.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
+
+
 def append_new(incoming: DataFrame, path: str, key: str) -> None:
-    """Append rows whose key the table lacks. Running it again with the same rows adds nothing."""
+    """Append rows whose key the table lacks, one per key. Running it again with the same rows adds nothing."""
     spark = incoming.sparkSession
     existing = read_or_empty(spark, path, incoming.schema)
-    new_keys(incoming, existing, key).write.mode("append").parquet(path)
+    one_per_key(new_keys(incoming, existing, key), key).write.mode("append").parquet(path)
 
 
 def union_quarters(frames: Sequence[DataFrame]) -> DataFrame:

@@ -6,6 +6,7 @@ is stored; a telemetry batch overwrites its own folder. State and progress live
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spendloom.functions.values import normal_feedback
 from spendloom.operators.catalogue import unique_items
-from spendloom.operators.embedding import DIMENSIONS, EMBEDDING_SCHEMA, Embedder, embed, pending_items
-from spendloom.sources.tables import append_new, read_or_empty
+from spendloom.operators.embedding import DIMENSIONS, EMBEDDING_SCHEMA, Embedder, embed, pending_items, wrong_width
+from spendloom.sources.tables import append_new, one_per_key, read_or_empty
+
+
+# Calls of a day may arrive up to a week after the newest one.
+LATENESS = "7 days"
 
 
 def read_files(
@@ -52,11 +57,17 @@ def embed_new_items(
     make_embedder: Callable[[], Embedder],
     dimensions: int = DIMENSIONS,
 ) -> StreamingQuery:
-    """Embed the items of each batch that have no stored vector yet."""
+    """Embed the items of each batch that have no stored vector yet.
+
+    A stream sees new items only, so it can't rebuild a table of vectors of another width: it refuses, before it
+    writes, and ``embed_pending`` rebuilds.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
         stored = read_or_empty(batch.sparkSession, embeddings_path, EMBEDDING_SCHEMA)
-        todo = pending_items(batch.dropDuplicates(["item_id"]), stored.filter(F.size("embedding") == dimensions))
+        if not wrong_width(stored, dimensions).isEmpty():
+            raise ValueError(f"stored vectors are not {dimensions} wide; rebuild them with embed_pending")
+        todo = one_per_key(pending_items(batch, stored), "item_id")
         embed(todo, make_embedder).write.mode("append").parquet(embeddings_path)
 
     return _start(items.writeStream.foreachBatch(merge), checkpoint)
@@ -64,7 +75,9 @@ def embed_new_items(
 
 def telemetry_windows(log: DataFrame, width: str = "1 day", lateness: str | None = None) -> DataFrame:
     """Calls, latency and feedback per time window. With ``lateness`` old windows leave the state."""
-    timed = log.withWatermark("timestamp", lateness) if lateness else log
+    # watermarks need a time with a zone
+    timed = log.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    timed = timed.withWatermark("timestamp", lateness) if lateness else timed
     verdict = normal_feedback(F.col("feedback"))
     return (
         timed.groupBy(F.window("timestamp", width))
@@ -79,25 +92,31 @@ def telemetry_windows(log: DataFrame, width: str = "1 day", lateness: str | None
 
 
 def stream_telemetry(
-    log: DataFrame, path: str, checkpoint: str, width: str = "1 day", lateness: str | None = None
+    log: DataFrame, path: str, checkpoint: str, width: str = "1 day", lateness: str | None = LATENESS
 ) -> StreamingQuery:
-    """Write the windows each batch touched; a rerun of a batch replaces its own folder."""
+    """Write the windows each batch touched; a rerun of a batch replaces its own folder.
+
+    Epochs belong to a checkpoint, which counts them from 0, so each checkpoint writes below a folder of its own.
+    Windows that end ``lateness`` before the newest call leave the state; later calls for them are dropped.
+    """
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        stamped = batch.withColumn("written_at", F.current_timestamp())
+        stamped.write.mode("overwrite").parquet(f"{path}/run={run}/epoch={epoch}")
 
     windows = telemetry_windows(log, width, lateness)
     return _start(windows.writeStream.outputMode("update").foreachBatch(save), checkpoint)
 
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """The newest figures of every window."""
+    """The figures of every window as they were last written."""
     columns = ("queries", "latency_sum", "thumbs_up", "thumbs_down")
     latest = (
         spark.read.option("basePath", path)
         .parquet(path)
         .groupBy("window_start")
-        .agg(F.max_by(F.struct(*columns), "epoch").alias("v"))
+        .agg(F.max_by(F.struct(*columns), F.struct("written_at", "epoch")).alias("v"))
     )
     return latest.select(
         "window_start",

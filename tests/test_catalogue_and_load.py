@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from spendloom.operators import catalogue, quality, silver
 from spendloom.plans.medallion import Lake, load_quarters
-from spendloom.sources.tables import append_new
+from spendloom.sources.tables import append_new, table_exists
 from tests.award_rows import bronze
 from tests.conftest import rows
 
@@ -52,3 +53,31 @@ def test_failed_gate_leaves_catalogue_and_gold_alone(spark, tmp_path):
         load_quarters(lake, bronze(spark, {"line_item_no": "-1"}))
     assert not (tmp_path / "unique_items").exists()
     assert not (tmp_path / "all_awards").exists()
+
+
+def test_rerun_with_fewer_rows_leaves_nothing_stale(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    assert load_quarters(lake, bronze(spark, {}, {"contract_amount": "NULL"}, {"contract_amount": "0", "award_ref": "9"}))
+    assert load_quarters(lake, bronze(spark, {"quarter": "2025-Q2"}))
+    assert (lake.read("quarantine_no_award").count(), lake.read("awards_zero_amount").count()) == (1, 1)
+    assert load_quarters(lake, bronze(spark, {}))
+    assert not table_exists(spark, lake.path("quarantine_no_award"))
+    assert not table_exists(spark, lake.path("awards_zero_amount"))
+    assert lake.read("all_awards").count() == 2
+    assert load_quarters(lake, bronze(spark, {"quarter": "2025-Q2"}), quarters=["2025-Q1", "2025-Q2"])
+    assert [r["quarter"] for r in lake.read("all_awards").collect()] == ["2025-Q2"]
+
+
+def test_columns_of_some_quarters_are_kept(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    load_quarters(lake, bronze(spark, {}))
+    load_quarters(lake, bronze(spark, {"quarter": "2025-Q2", "award_ref": "8"}).withColumn("extra", F.lit("x")))
+    found = lake.read("all_awards").select("quarter", "extra").collect()
+    assert sorted(map(tuple, found)) == [("2025-Q1", None), ("2025-Q2", "x")]
+
+
+def test_gate_reads_the_stored_embeddings(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path))
+    spark.createDataFrame([("a", 1)], "item_id string, other int").write.parquet(lake.path("item_embeddings"))
+    with pytest.raises(quality.QualityGateError, match="embedding column present"):
+        load_quarters(lake, bronze(spark, {}))

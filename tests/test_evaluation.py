@@ -62,6 +62,16 @@ def test_enriched_sample_skips_done_items(spark):
     assert [(r["item_id"], r["region"], r["amount"], r["category"]) for r in found] == [("2", "", 0.0, "Petroleum")]
 
 
+def test_enriched_sample_stops_at_its_size(spark):
+    names = spark.range(40).selectExpr(
+        "cast(id as string) item_id", "'long title' notice_title", "'long name' item_name", "'' item_desc", "'' unspsc_desc"
+    )
+    best = names.selectExpr("item_id", "'A' agency", "'R' region", "'W' awardee", "'1' award_ref", "1.0D contract_amount")
+    for done, size in ((0, 5), (3, 2), (7, 0)):
+        asked = names.orderBy("item_id").limit(done)
+        assert ev.enriched_sample(names, names, best, asked, sample_size=5).count() == size
+
+
 def test_retrieval_metrics_count_misses(spark):
     schema = "query_id int, item_id string, score double, rank int, source string"
     keyword = spark.createDataFrame([(1, "a", 2.0, 1, "keyword"), (2, "b", 1.0, 1, "keyword")], schema)

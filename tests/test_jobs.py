@@ -36,7 +36,7 @@ def test_embedding_resumes_and_rebuilds(spark, tmp_path):
 
 
 def test_positions_and_running_totals(spark):
-    found = rows(emb.numbered(items(spark, 500), prefix=1).select("item_id", "position"), "item_id")
+    found = rows(emb.numbered(items(spark, 500)).select("item_id", "position"), "item_id")
     assert [p for _, p in found] == list(range(1, 501))
     frame = spark.range(1, 2501).select(F.col("id").alias("n"), (F.col("id") % 7).alias("v"))
     total = 0
@@ -117,8 +117,54 @@ def test_telemetry_stream_equals_batch_over_many_batches(spark, sf_dir, tmp_path
     events.repartition(4).write.parquet(str(tmp_path / "events"))
     stream = tb.query_log(jobs.read_files(spark, str(tmp_path / "events"), events.schema, files_per_batch=1))
     path = str(tmp_path / "windows")
-    jobs.run_to_end(jobs.stream_telemetry(stream, path, str(tmp_path / "c")))
+    jobs.run_to_end(jobs.stream_telemetry(stream, path, str(tmp_path / "c"), lateness="20000 days"))
     streamed = jobs.read_telemetry(spark, path).drop("avg_latency_ms")
     batch = jobs.telemetry_windows(tb.query_log(events)).drop("latency_sum")
     assert rows(streamed, "window_start") == rows(batch, "window_start")
     assert jobs.read_telemetry(spark, path).agg(F.sum("queries")).first()[0] == events.count()
+
+
+def test_embedding_commits_part_by_part(spark, tmp_path):
+    path, calls = str(tmp_path / "parts"), str(tmp_path / "calls")
+
+    def failing():
+        make = emb.hashing_embedder(16)()
+
+        def embed(texts):
+            with open(calls, "a") as log:
+                log.write("x" * len(texts))
+            if len(open(calls).read()) > 20:
+                raise RuntimeError("the service is gone")
+            return make(texts)
+
+        return embed
+
+    with pytest.raises(Exception, match="the service is gone"):
+        emb.embed_pending(items(spark), path, failing, 16, chunk=5)
+    stored = spark.read.parquet(path).count()
+    assert 0 < stored < 30
+    emb.embed_pending(items(spark), path, emb.hashing_embedder(16), 16, chunk=5)
+    assert spark.read.parquet(path).select("item_id").distinct().count() == 30 == spark.read.parquet(path).count()
+
+
+def test_embed_stream_refuses_another_width(spark, tmp_path):
+    source, sink = str(tmp_path / "items"), str(tmp_path / "vectors")
+    items(spark).write.parquet(source)
+    emb.embed_pending(items(spark, 5), sink, emb.hashing_embedder(8), 8)
+    stream = jobs.read_files(spark, source, items(spark).schema)
+    with pytest.raises(Exception, match="rebuild them"):
+        jobs.run_to_end(jobs.embed_new_items(stream, sink, str(tmp_path / "c"), emb.hashing_embedder(16), 16))
+    assert spark.read.parquet(sink).count() == 5
+
+
+def test_a_new_checkpoint_starts_the_figures_anew(spark, tmp_path):
+    source, path = str(tmp_path / "log"), str(tmp_path / "windows")
+    for start in (0, 2, 4):
+        log_rows(spark, {"id": start}, {"id": start + 1}).coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.read_files(spark, source, telemetry.LOG_SCHEMA, files_per_batch=1)
+    jobs.run_to_end(jobs.stream_telemetry(stream, path, str(tmp_path / "c1")))
+    assert [r["queries"] for r in jobs.read_telemetry(spark, path).collect()] == [6]
+    log_rows(spark, *({"id": k} for k in range(10, 60))).coalesce(1).write.mode("overwrite").parquet(source)
+    stream = jobs.read_files(spark, source, telemetry.LOG_SCHEMA)
+    jobs.run_to_end(jobs.stream_telemetry(stream, path, str(tmp_path / "c2")))
+    assert [r["queries"] for r in jobs.read_telemetry(spark, path).collect()] == [50]

@@ -102,10 +102,6 @@ def test_table_discovery(spark):
     assert tables.silver_tables(spark) == ["y2025_q1_awards_typed"]
 
 
-def test_spread_leaves_large_scans_alone(spark):
-    assert tables.spread(spark.range(0, 10, 1, 2), "id").rdd.getNumPartitions() == 8
-    assert tables.spread(spark.range(0, 10, 1, 20), "id").rdd.getNumPartitions() == 20
-
 
 def test_evaluation_set_files(spark, tmp_path):
     frame = spark.createDataFrame([("q", "i", "n", "c", "s")], evalset.QUESTION_SCHEMA)
@@ -125,3 +121,22 @@ def test_shared_folder_comes_from_the_session(spark):
     )
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(cluster)
+
+
+def test_copies_of_a_key_in_one_batch_are_stored_once(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    batch = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3), (None, 4), ("a", None)], "k string, v int")
+    tables.append_new(batch, path, "k")
+    tables.append_new(batch, path, "k")
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1), ("b", 3)]
+
+
+def test_only_missing_files_mean_no_table(spark, tmp_path):
+    assert not tables.table_exists(spark, str(tmp_path / "none"))
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "_SUCCESS").write_text("")
+    assert tables.read_or_empty(spark, str(tmp_path / "empty"), "v int").count() == 0
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)footer|corrupt|parquet"):
+        tables.read_or_empty(spark, str(tmp_path / "broken"), "v int").count()
