@@ -46,7 +46,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     found = substring_dedup.repeated_passages(documents)
-    return found.withColumnRenamed("id", "doc_id").withColumnRenamed("first_id", "first_doc_id")
+    return found.drop("version").withColumnRenamed("id", "doc_id").withColumnRenamed("first_id", "first_doc_id")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
