@@ -20,6 +20,14 @@ STOP_WORDS = (
 )
 
 
+def english_stop_words() -> tuple[str, ...]:
+    """Spark's longer list of English function words, apostrophes cut as the tokens have them."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    listed = StopWordsRemover.loadDefaultStopWords("english")
+    return tuple(sorted({part for word in listed for part in word.split("'")} - {""}))
+
+
 def strip_blanks(c: Column) -> Column:
     """Trim every Unicode space separator, not only U+0020."""
     return F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+$", "")

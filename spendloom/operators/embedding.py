@@ -74,7 +74,12 @@ def next_chunk(pending: DataFrame, limit: int = CHUNK_SIZE) -> DataFrame:
 
 
 def embed(items: DataFrame, make_embedder: Callable[[], Embedder]) -> DataFrame:
-    """(item_id, embedding). The embedder is built once per task and called with batches of requests."""
+    """(item_id, embedding) of catalogue items."""
+    return embed_texts(payloads(items), make_embedder)
+
+
+def embed_texts(texts: DataFrame, make_embedder: Callable[[], Embedder]) -> DataFrame:
+    """(item_id, embedding) of ``texts(item_id, doc_text)``. The embedder is built once per task and called with batches of requests."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_embedder()
@@ -84,7 +89,8 @@ def embed(items: DataFrame, make_embedder: Callable[[], Embedder]) -> DataFrame:
                 vectors = model(list(part["doc_text"]))
                 yield pd.DataFrame({"item_id": part["item_id"].to_numpy(), "embedding": vectors})
 
-    return payloads(items).mapInPandas(run, EMBEDDING_SCHEMA)
+    kind = texts.schema["item_id"].dataType.simpleString()
+    return texts.select("item_id", "doc_text").mapInPandas(run, f"item_id {kind}, embedding array<float>")
 
 
 def wrong_width(embeddings: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:

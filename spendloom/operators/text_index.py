@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spendloom.functions.stemming import stems, vocabulary
 from spendloom.functions.text import STOP_WORDS, clean_query, search_tokens
 
 # Usual BM25 constants (Robertson & Zaragoza 2009).
 K1 = 1.2
 B = 0.75
 SCORE_DIGITS = 6
-BUCKETS = 64
+BUCKET_TOKENS = 2_000_000  # of indexed text in a bucket of a stored index
 # Query terms are broadcast up to this many (query, term) rows, some 30 MB; more are joined by shuffle.
 BROADCAST_TERMS = 500_000
 # Clusters the items of an index built on the fly. A hash column of its own, because Spark drops a repartition
@@ -69,9 +70,24 @@ def build_index(
     return TextIndex(postings, terms, stats)
 
 
-def write_index(index: TextIndex, name: str, path: str, buckets: int = BUCKETS) -> None:
-    """Rebuild the stored index: a postings table bucketed by item, and plain files for the rest."""
+def stemmed(index: TextIndex) -> TextIndex:
+    """The index over word stems: only the distinct terms are stemmed, postings are joined with them."""
+    by_stem = index.postings.join(vocabulary(index.terms), "term").drop("term").withColumnRenamed("stem", "term")
+    owner = [c for c in index.postings.columns if c not in ("term", "tf")]
+    postings = by_stem.groupBy("term", *owner).agg(F.sum("tf").alias("tf")).select(*index.postings.columns)
+    return TextIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), index.stats)
+
+
+def write_index(index: TextIndex, name: str, path: str, buckets: int | None = None) -> None:
+    """Rebuild the stored index: a postings table bucketed by item, and plain files for the rest.
+
+    The number of buckets follows from the length of the indexed texts, so that tasks over them stay alike in size.
+    """
     spark = index.postings.sparkSession
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    if buckets is None:
+        stats = spark.read.parquet(f"{path}/stats").first()
+        buckets = 1 + int(stats["n_items"] * (stats["avg_len"] or 0) // BUCKET_TOKENS)
     (
         index.postings.drop(SHARD)
         .repartition(buckets, "item_id")
@@ -83,7 +99,6 @@ def write_index(index: TextIndex, name: str, path: str, buckets: int = BUCKETS)
     )
     counted = spark.table(f"{name}_postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     counted.write.mode("overwrite").parquet(f"{path}/terms")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def read_index(spark: SparkSession, name: str, path: str) -> TextIndex:
@@ -110,13 +125,18 @@ def keyword_search(
     k: int = 20,
     scope: DataFrame | None = None,
     stop_words: Sequence[str] = STOP_WORDS,
+    stemming: bool = False,
 ) -> DataFrame:
     """Top k items per query by BM25: (query_id, item_id, score, rank, source).
 
+    ``stemming`` belongs to an index made by ``stemmed``: the words of the queries become stems too.
+
     ``queries`` has (query_id, query_text). Items that match no term are absent. ``scope`` holds the allowed
     item ids; it applies before the ranking, so k items come from inside the scope.
     """
     wanted = query_terms(queries, stop_words)
+    if stemming:
+        wanted = wanted.withColumn("term", stems(F.col("term"))).distinct()
     distinct_terms = wanted.select("term").distinct()
     # Only postings and frequencies of asked terms are read on; Catalyst moves the semi join below the
     # aggregate when the index is built on the fly.

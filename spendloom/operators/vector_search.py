@@ -20,10 +20,6 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from spendloom.operators.text_index import SCORE_DIGITS, rank_results
 
 BLOCK_ROWS = 2048
-# A corpus of more splits than this is searched in a sample first, see ``_floors``.
-SAMPLED_SPLITS = 256
-SAMPLE_ROWS = 1_000_000
-SAMPLE_TASKS = 64
 CELL_SLICE_ROWS = 20_000
 
 
@@ -56,9 +52,8 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 class _TopK:
     """Running k best (id, score) per query."""
 
-    def __init__(self, n_queries: int, k: int, floors: np.ndarray | None = None) -> None:
+    def __init__(self, n_queries: int, k: int) -> None:
         self.k = k
-        self.floors = floors
         self.ids: list[np.ndarray | None] = [None] * n_queries
         self.scores: list[np.ndarray | None] = [None] * n_queries
 
@@ -66,9 +61,6 @@ class _TopK:
         """``scores`` has one row per query position in ``queries`` and one column per id."""
         for row, q in enumerate(queries):
             new_ids, new_scores = ids, scores[row]
-            if self.floors is not None:
-                high = new_scores >= self.floors[q]
-                new_ids, new_scores = new_ids[high], new_scores[high]
             at = _best(new_ids, new_scores, self.k)
             new_ids, new_scores = new_ids[at], new_scores[at]
             if self.ids[q] is not None:
@@ -104,45 +96,23 @@ def _usable(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull() & (longest > 0))
 
 
-def _floors(corpus: DataFrame, block: list, k: int, splits: int) -> np.ndarray | None:
-    """For each query of the block, a score that its k-th best result reaches at least.
-
-    Each task of a search returns k rows per query, which is much where tasks are many. The k-th best score of
-    any part of the corpus is a lower bound of the k-th best of all, so a sample gives bounds that lose nothing
-    and let the tasks return only what can still be among the best. None where tasks are few.
-    """
-    if splits <= SAMPLED_SPLITS:
-        return None
-    rows = corpus.count()
-    sample = corpus.sample(min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=11).repartition(SAMPLE_TASKS)
-    id_type, query_type = corpus.schema["item_id"].dataType, T.LongType()
-    numbered = [{"query_id": n, "query_vector": r["query_vector"]} for n, r in enumerate(block)]
-    best = rank_results(_block_search(sample, numbered, k, id_type, query_type), k, "sample")
-    floors = np.full(len(block), -np.inf)
-    for row in best.filter(F.col("rank") == k).select("query_id", "score").collect():
-        # one unit of the last digit below, as sums may round differently in batches of another size
-        floors[row["query_id"]] = row["score"] - 10.0**-SCORE_DIGITS
-    return floors
-
-
 def _block_search(
     corpus: DataFrame,
     block: list,
     k: int,
     id_type: T.DataType,
     query_type: T.DataType,
-    floors: np.ndarray | None = None,
 ) -> DataFrame:
     spark = corpus.sparkSession
     query_ids = np.array([r["query_id"] for r in block], dtype=object)
     unit = _unit(np.array([r["query_vector"] for r in block], dtype=np.float64))
-    shared = spark.sparkContext.broadcast((query_ids, unit, floors))
+    shared = spark.sparkContext.broadcast((query_ids, unit))
     schema = _result_schema(query_type, id_type)
     arrow = to_arrow_schema(schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners, queries, least = shared.value
-        top = _TopK(len(owners), k, least)
+        owners, queries = shared.value
+        top = _TopK(len(owners), k)
         for batch in batches:
             if batch.num_rows:
                 ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
@@ -162,44 +132,27 @@ def vector_search(
     """Exact top k items per query by cosine: (query_id, item_id, score, rank, source).
 
     ``corpus`` has (item_id, embedding), ``queries`` (query_id, query_vector). ``scope`` holds the allowed
-    item ids and applies before the ranking. The queries are counted first; one block of them at a time is
-    held by the driver and sent to the tasks.
+    item ids and applies before the ranking. Queries are asked in blocks of at most ``BLOCK_ROWS``, each of which
+    passes through the driver to the tasks; every block reads the corpus once and moves none of it. Equal rows of
+    ``queries`` count once.
     """
     kept = _usable(corpus, "embedding")
     if scope is not None:
         kept = kept.join(scope.select("item_id"), "item_id", "left_semi")
-    asked = _usable(queries.select("query_id", "query_vector"), "query_vector")
+    asked = _usable(queries.select("query_id", "query_vector"), "query_vector").distinct()
     id_type, query_type = corpus.schema["item_id"].dataType, queries.schema["query_id"].dataType
-
-    rows = asked.limit(BLOCK_ROWS + 1).collect()
-    if len(rows) <= BLOCK_ROWS:
-        blocks = [rows] if rows else []
-    else:
-        blocks = _blocks(asked)
-    splits = _splits(corpus)
-    found = None
-    for block in blocks:
-        floors = _floors(kept, block, k, splits)
-        part = _block_search(kept, block, k, id_type, query_type, floors)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = corpus.sparkSession.createDataFrame([], _result_schema(query_type, id_type))
+    found = corpus.sparkSession.createDataFrame([], _result_schema(query_type, id_type))
+    for block in _blocks(asked):
+        found = found.unionByName(_block_search(kept, block, k, id_type, query_type))
     return rank_results(found, k, "vector")
 
 
-def _splits(df: DataFrame) -> int:
-    """Splits of a frame that is only scanned; 0 for one with a shuffle, whose tasks the session bounds."""
-    adaptive = df._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan")
-    return 0 if adaptive else df.rdd.getNumPartitions()
-
-
 def _blocks(asked: DataFrame) -> Iterator[list]:
-    """Blocks of queries by hash, each checked against the bound and halved again until it holds."""
-    n = -(-asked.count() * 2 // BLOCK_ROWS)
-    todo = [(n, b) for b in range(n)]
+    """Blocks of distinct queries by their hash, each checked against the bound and halved until it holds."""
+    todo = [(1, 0)]
     while todo:
         parts, b = todo.pop()
-        own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == b)
+        own = asked.filter(F.pmod(F.xxhash64("query_id", "query_vector"), F.lit(parts)) == b)
         rows = own.limit(BLOCK_ROWS + 1).collect()
         if len(rows) > BLOCK_ROWS:
             todo += [(parts * 2, b), (parts * 2, b + parts)]

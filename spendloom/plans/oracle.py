@@ -439,22 +439,44 @@ def _metrics_sql() -> str:
             ("hybrid", "fused", "final_rank"),
         )
     )
-    return f"""with {_PARTS}, {_templated()},
+    return f"""with {_PARTS}, {_templated()}, {_handwritten()},
 targets as (
     select row_number() over (order by target_item_id, question) as query_id, question as query_text, target_item_id
-    from templated
+    from (select question, target_item_id from templated union all select question, target_item_id from handwritten)
 ),
-questions as (
-    select query_id, query_text, embedding as query_vector from targets join vectors on target_item_id = item_id
+item_texts as ({_payload("catalogue")}),
+{_dense("item_texts", "item_id", "doc_text", "item_vectors")},
+{_dense("targets", "query_id", "query_text", "query_vectors")},
+vector_hits as (
+    select query_id, item_id, rank from (
+        select query_id, item_id, row_number() over (partition by query_id order by score desc, item_id) as rank,
+            score from (select q.query_id, i.item_id, round(list_cosine_similarity(q.vector, i.vector), 6) as score
+            from query_vectors q cross join item_vectors i)) where rank <= 5
 ),
 {_bm25("catalogue", "item_id", _ITEM_TEXT, "targets", 5, None, "keyword_hits")},
-{_cosine(5, None, "questions")}, {_rrf(5)},
+scored_hits as (select *, 0.0::double as score from vector_hits),
+{_rrf(5, v="scored_hits")},
 found as ({every})
 select strategy, count(*) as questions, round(count(rank) / count(*), 6) as hit_rate,
     round(sum(coalesce(1.0::double / rank, 0)) / count(*), 6) as mrr
 from found group by strategy"""
 
 
+def _dense(source: str, key: str, text: str, out: str) -> str:
+    """CTE ``out(key, vector)``: word counts hashed into 64 buckets, unit length, single precision."""
+    return f"""{out} as (
+    select {key}, list_transform(range(0, 64), lambda b: cast(coalesce(list_sum(list_transform(
+        list_filter(parts, lambda p: p.bucket = b), lambda p: p.weight)), 0) as double)) as vector
+    from (select {key}, list({{'bucket': bucket, 'weight': weight}}) as parts from (
+        select {key}, bucket, cast(n / sqrt(sum(n * n) over (partition by {key})) as float) as weight from (
+            select {key}, bucket, count(*) as n from (
+                select {key}, ('0x' || substr(md5(word), 1, 8))::bigint % 64 as bucket from (
+                    select {key}, unnest(list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'),
+                        lambda w: w <> '')) as word from {source}))
+            group by {key}, bucket)) group by {key})
+)"""
+
+
 def _hashed(source: str) -> str:
     return f"""with {_PARTS}, texts as ({_payload(source)}),
 words as (
@@ -667,8 +689,14 @@ def oracle_sql() -> dict[str, str]:
             select term, df from terms""",
         "bm25_topk": f"with {_bm25('documents', 'doc_id', 'text', bench, 20, None, 'hits')} {ranked} hits",
         "bm25_topk_scoped": f"with {_bm25('documents', 'doc_id', 'text', bench, 20, doc_scope, 'hits')} {ranked} hits",
+        "cosine_all": f"""with corpus as (select vec_id, embedding::double[] as v from embeddings)
+            select query_id, item_id, score, rank from (
+                select *, row_number() over (partition by query_id order by score desc, item_id) as rank from (
+                    select q.vec_id as query_id, c.vec_id as item_id, round(list_cosine_similarity(q.v, c.v), 6) as score
+                    from corpus q cross join corpus c)) where rank <= 5""",
         "cosine_topk": f"with {_PARTS}, {_cosine(20, None)} {ranked} vector_hits",
         "cosine_topk_scoped": f"with {_AWARDS}, {_PARTS}, {_cosine(20, awards_scope)} {ranked} vector_hits",
+        "ann_all_cells": f"with {_PARTS}, {_cosine(20, None)} {ranked} vector_hits",
         "rrf_fusion": f"{lists} select * from fused",
         "hybrid_search": f"{hybrid} select * from fused join catalogue using (item_id)",
         "hybrid_spend": f"{hybrid} select query_id, {_TOTALS} from hits group by query_id",

@@ -209,10 +209,17 @@ def _ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = tb.item_embeddings(spark, sf_dir)
     queries = tb.label_queries(spark, sf_dir)
     centroids = vector_search.train_cells(corpus, 16)
-    near = vector_search.approximate_search(corpus, queries, centroids, k=10, probes=6)
+    near = vector_search.approximate_search(corpus, queries, centroids, k=10, probes=12)
     return vector_search.recall(near, vector_search.vector_search(corpus, queries, 10))
 
 
+def _ann_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With every cell probed the search over cells is exact."""
+    corpus, cells = tb.item_embeddings(spark, sf_dir), 16
+    centroids = vector_search.train_cells(corpus, cells)
+    return vector_search.approximate_search(corpus, tb.label_queries(spark, sf_dir), centroids, k=20, probes=cells)
+
+
 def _ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.build_ground_truth(
         tb.catalogue(spark, sf_dir), tb.item_embeddings(spark, sf_dir), benchmarks=ev.BENCHMARKS + TERMS
@@ -230,19 +237,30 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalogue, embedded = tb.catalogue(spark, sf_dir), tb.item_embeddings(spark, sf_dir)
-    asked = ev.templated_questions(catalogue, embedded).select("question", "target_item_id")
+    """Every question of the set, over the catalogue embedded by its own texts."""
+    catalogue, make = tb.catalogue(spark, sf_dir), emb.hashing_embedder(EMBED_WIDTH)
     # the sample bounds the questions, so one task numbers them
-    named = asked.withColumn(
-        "query_id", F.row_number().over(W.orderBy("target_item_id", "question")).cast("bigint")
-    )
-    # the vector of a question is that of its target: the embedding service is not part of this
-    queries = named.join(embedded, F.col("target_item_id") == F.col("item_id")).select(
-        "query_id", F.col("question").alias("query_text"), F.col("embedding").alias("query_vector")
+    order = W.orderBy("target_item_id", "question")
+    path = new_folder(spark, "asked")
+    refresh_table(
+        _ground_truth(spark, sf_dir).select(
+            F.row_number().over(order).cast("bigint").alias("query_id"), F.col("question").alias("query_text"), "target_item_id"
+        ),
+        path,
     )
-    keyword = ti.keyword_search(ti.build_index(catalogue, ITEM_TEXT), queries, 5)
-    vector = vector_search.vector_search(embedded, queries, 5)
-    return ev.retrieval_metrics(keyword, vector, named.select("query_id", "target_item_id"))
+    asked = spark.read.parquet(path)
+    texts = asked.select(F.col("query_id").alias("item_id"), F.col("query_text").alias("doc_text"))
+    vectors = emb.embed_texts(texts, make).toDF("query_id", "query_vector")
+    keyword = ti.keyword_search(ti.build_index(catalogue, ITEM_TEXT), asked, 5)
+    vector = vector_search.vector_search(emb.embed(catalogue, make), vectors, 5)
+    return ev.retrieval_metrics(keyword, vector, asked.select("query_id", "target_item_id"))
+
+
+def _cosine_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors nearest to every vector of the table."""
+    vectors = tb.table(spark, sf_dir, "embeddings")
+    corpus = vectors.select(F.col("vec_id").alias("item_id"), "embedding")
+    return vector_search.vector_search(corpus, corpus.toDF("query_id", "query_vector"), 5)
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,6 +476,7 @@ def queries() -> dict[str, Query]:
         "bm25_topk_scoped": lambda s, d: _ranked(
             ti.keyword_search(_documents_index(s, d), _benchmark_queries(s, d), 20, _document_scope(s, d))
         ),
+        "cosine_all": lambda s, d: _ranked(_cosine_all(s, d)),
         "cosine_topk": lambda s, d: _ranked(
             vector_search.vector_search(tb.item_embeddings(s, d), tb.label_queries(s, d), 20)
         ),
@@ -482,6 +501,7 @@ def queries() -> dict[str, Query]:
         "spend_answer_text": _summary,
         "spend_answer_context": _context,
         "ann_recall": _ann_recall,
+        "ann_all_cells": lambda s, d: _ranked(_ann_all_cells(s, d)),
         # evaluation
         "ground_truth_queries": _ground_truth,
         "enriched_sample": _enriched,

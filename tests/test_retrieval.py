@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spendloom.functions.stemming import stem
+from spendloom.functions.text import english_stop_words
 from spendloom.operators import fusion, spend, vector_search
 from spendloom.operators import text_index as ti
 from tests.conftest import rows
@@ -122,20 +124,38 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     assert rows(vector_search.vector_search(frame, self_queries(frame), 3), "query_id", "rank") == whole
 
 
-@pytest.mark.parametrize("copies", [0, 150])
-def test_floors_from_a_sample_lose_nothing(spark, monkeypatch, copies):
-    data, _ = vectors(spark, copies=copies)
-    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "item_id long, embedding array<float>")
-    monkeypatch.setattr(vector_search, "SAMPLED_SPLITS", 1)
-    monkeypatch.setattr(vector_search, "SAMPLE_ROWS", 60)
-    assert vector_search._splits(frame) > 1
-    block = [{"query_id": i, "query_vector": list(v)} for i, v in enumerate(data[:9])]
-    assert np.isfinite(vector_search._floors(frame, block, 7, 8)).all()
-    found = vector_search.vector_search(frame, self_queries(frame), 7).collect()
-    lists = {q: [] for q in range(len(data))}
-    for r in sorted(found, key=lambda r: r["rank"]):
-        lists[r["query_id"]].append(r["item_id"])
-    assert list(lists.values()) == brute_cosine(data, data, 7)
+def test_many_queries_of_one_id_are_split(spark, monkeypatch):
+    data, frame = vectors(spark)
+    queries = self_queries(frame).withColumn("query_id", F.lit(1).cast("bigint"))
+    monkeypatch.setattr(vector_search, "BLOCK_ROWS", 4)
+    few = queries.limit(6)
+    found = vector_search.vector_search(frame, few.unionByName(few), 1).collect()
+    assert len(found) == 1 and found[0]["rank"] == 1
+
+
+@pytest.mark.parametrize(
+    ("word", "expected"),
+    [
+        ("caresses", "caress"), ("ponies", "poni"), ("gloves", "glove"), ("glove", "glove"), ("feed", "feed"),
+        ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("hopping", "hop"),
+        ("conflated", "conflat"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"),
+        ("vietnamization", "vietnam"), ("triplicate", "triplic"), ("adoption", "adopt"), ("replacement", "replac"),
+        ("controlling", "control"), ("rolling", "roll"), ("rate", "rate"), ("cease", "ceas"), ("is", "is"),
+    ],
+)
+def test_stems(word, expected):
+    assert stem(word) == expected
+
+
+def test_stemmed_search_finds_other_forms(spark):
+    items = spark.createDataFrame([("a", "surgical gloves"), ("b", "glove boxes and boxing"), ("c", "cement")], "item_id string, text string")
+    plain = ti.build_index(items, ["text"])
+    queries = spark.createDataFrame([(1, "the glove")], "query_id int, query_text string")
+    assert [r["item_id"] for r in ti.keyword_search(plain, queries, 5).collect()] == ["b"]
+    index = ti.stemmed(plain)
+    assert {r["item_id"] for r in ti.keyword_search(index, queries, 5, stemming=True).collect()} == {"a", "b"}
+    assert {r["term"]: r["df"] for r in index.terms.collect()}["glove"] == 2
+    assert "ourselves" in english_stop_words() and len(english_stop_words()) > 150
 
 
 def test_vectors_without_length_and_scope(spark):
