@@ -14,6 +14,7 @@ from spendloom.operators.analytics import scope_condition
 from spendloom.operators.spend import spend_by_query
 from spendloom.operators.text_index import TextIndex, keyword_search, scope_items
 from spendloom.operators.vector_search import vector_search
+from spendloom.session import stored
 
 RRF_K = 60
 # The candidate pool that spend is summed over: ten times the shown results, at least this many per list.
@@ -93,11 +94,12 @@ def hybrid_search(
     """
     limit = max(10 * top_k, POOL_MIN)
     condition = scope_condition(region, agency)
-    scope = None if condition is None else scope_items(awards, condition)
+    scope = None if condition is None else stored(scope_items(awards, condition), "scope")
     asked = queries.filter(F.trim("query_text") != "")
-    keyword = keyword_search(index, asked, limit, scope, stop_words)
+    # at most ``limit`` rows per query, read by the fusion, the pool and the spend
+    keyword = stored(keyword_search(index, asked, limit, scope, stop_words), "keyword-list")
     if corpus is not None and "query_vector" in queries.columns:
-        vector = vector_search(corpus, asked, limit, scope)
+        vector = stored(vector_search(corpus, asked, limit, scope), "vector-list")
     else:
         vector = keyword.filter(F.lit(False))
     items = reciprocal_rank_fusion(vector, keyword, top_k)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spendloom.functions.text import peso
 from spendloom.operators.analytics import scoped
+from spendloom.session import stored
 
 TOP = 5
 SAMPLE_COLUMNS = (
@@ -114,11 +115,13 @@ def spend_by_query(
     is a filter, zeros otherwise.
     """
     rows = scoped(awards, region, agency)
-    wanted = rows.join(pool.select("item_id"), "item_id", "left_semi")
+    wanted = rows.join(pool.select("item_id"), "item_id", "left_semi").select("item_id", *SAMPLE_COLUMNS)
+    wanted = stored(wanted, "pool-awards")
     report = _nested(_report(_sums(wanted, "item_id").join(pool, "item_id"), ["query_id"]), "query_id")
-    samples = _as_list(sample_awards(rows, shown, ["query_id"]), SAMPLE_ROW, "samples", "query_id")
+    samples = _as_list(sample_awards(wanted, shown, ["query_id"]), SAMPLE_ROW, "samples", "query_id")
     whole_report = whole_samples = None
-    if region or agency:
+    # the whole filter is summed only where a query has no candidate
+    if (region or agency) and not queries.join(pool, "query_id", "left_anti").isEmpty():
         order = W.orderBy(F.desc("contract_amount"), *[F.asc_nulls_last(c) for c in SAMPLE_COLUMNS])
         largest = sample_awards(rows, None).withColumn("position", F.row_number().over(order).cast("bigint"))
         whole_report = _nested(_report(_sums(rows), []))
