@@ -176,7 +176,7 @@ def totals(report: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         *keys,
         F.col("spend").alias("total_spend"),
         "award_count",
-        F.round(average, 4).alias("avg_spend"),
+        average.alias("avg_spend"),
     )
 
 

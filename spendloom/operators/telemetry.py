@@ -72,12 +72,12 @@ def key_figures(log: DataFrame) -> DataFrame:
     up, down = _up(), _down()
     return log.agg(
         F.count(F.lit(1)).alias("total_queries"),
-        F.coalesce(F.round(F.avg("latency_ms"), 4), F.lit(0.0)).alias("avg_latency_ms"),
+        F.coalesce(F.avg("latency_ms"), F.lit(0.0)).alias("avg_latency_ms"),
         F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"),
-        F.coalesce(F.round(F.sum("cost_usd"), 6), F.lit(0.0)).alias("total_cost_usd"),
+        F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("total_cost_usd"),
         up.alias("thumbs_up"),
         down.alias("thumbs_down"),
-        F.when(up + down > 0, F.round(up / (up + down) * 100.0, 4)).otherwise(100.0).alias("satisfaction_rate"),
+        F.when(up + down > 0, up / (up + down) * 100.0).otherwise(100.0).alias("satisfaction_rate"),
     )
 
 

@@ -57,6 +57,15 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*[plain(f) for f in df.schema.fields])
 
 
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    """Sums of floating point rounded, as their last digits depend on the order of the rows."""
+    return df.withColumns({name: F.round(name, n) for name, n in digits.items()})
+
+
+def _totals(report: DataFrame, *keys: str) -> DataFrame:
+    return rounded(spend.totals(report, keys), avg_spend=4)
+
+
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.refine(tb.bronze(spark, sf_dir)).typed
 
@@ -425,7 +434,7 @@ def queries() -> dict[str, Query]:
         "all_awards_consolidated": lambda s, d: comparable(cat.with_item_id(_typed(s, d))),
         "largest_award_per_item": on_awards(cat.largest_award_per_item),
         # spend of items
-        "spend_summary": lambda s, d: spend.totals(_ring_report(s, d)),
+        "spend_summary": lambda s, d: _totals(_ring_report(s, d)),
         "top_agencies": lambda s, d: _section(_ring_report(s, d), "agency"),
         "top_regions": lambda s, d: _section(_ring_report(s, d), "region"),
         "sample_awards": lambda s, d: comparable(
@@ -455,7 +464,7 @@ def queries() -> dict[str, Query]:
         "q09_catalogue_items": lambda s, d: comparable(
             _discovery(s, d).items.select("query_id", "item_id", "final_rank", "score", "source")
         ),
-        "q09_catalogue_spend": lambda s, d: spend.totals(_discovery(s, d).spend, ["query_id"]),
+        "q09_catalogue_spend": lambda s, d: _totals(_discovery(s, d).spend, "query_id"),
         "q10_city_spend": on_awards(lambda a: q.city_spend(a, "nation_7 city")),
         "q11_agency_spend": on_awards(lambda a: q.agency_spend(a, "north", aliases=ALIASES)),
         "q12_no_match": on_awards(lambda a: an.point_aggregate(a, an.mentions("nuclear submarine"))),
@@ -495,7 +504,7 @@ def queries() -> dict[str, Query]:
                 _hybrid(s, d).items.withColumn("rrf_score", F.round("rrf_score", 9)), tb.catalogue(s, d)
             )
         ),
-        "hybrid_spend": lambda s, d: spend.totals(_hybrid(s, d).spend, ["query_id"]),
+        "hybrid_spend": lambda s, d: _totals(_hybrid(s, d).spend, "query_id"),
         "hybrid_top_agencies": lambda s, d: _section(_hybrid(s, d).spend, "agency", "query_id"),
         "hybrid_samples": lambda s, d: comparable(_hybrid(s, d).samples),
         "spend_answer_text": _summary,
@@ -522,7 +531,9 @@ def queries() -> dict[str, Query]:
         ),
         "item_embeddings": _embedded,
         # telemetry
-        "telemetry_kpis": on_log(telemetry.key_figures),
+        "telemetry_kpis": on_log(
+            lambda log: rounded(telemetry.key_figures(log), avg_latency_ms=4, total_cost_usd=6, satisfaction_rate=4)
+        ),
         "telemetry_feedback": on_log(telemetry.feedback_split),
         "telemetry_feedback_latest": _feedback_latest,
         "telemetry_recent": on_log(telemetry.recent_queries),

@@ -62,7 +62,7 @@ def log_rows(spark, *changes):
 def test_log_figures(spark):
     log = log_rows(spark, {}, {"id": 2, "feedback": "thumbs_up", "latency_ms": 30.0}, {"id": 3, "feedback": "thumbs_down"})
     figures = telemetry.key_figures(telemetry.with_cost(log)).first()
-    assert figures[:3] == (3, pytest.approx(16.6667), 450)
+    assert figures[:3] == (3, pytest.approx(50 / 3), 450)
     assert figures["total_cost_usd"] == pytest.approx(3 * (100 * 0.075 + 50 * 0.3) / 1e6, abs=1e-6)
     assert figures["satisfaction_rate"] == 50.0
     empty = telemetry.key_figures(log.limit(0)).first()
