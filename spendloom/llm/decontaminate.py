@@ -55,8 +55,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     agree = "transform(sequence(0, size(own) - 1), k -> if(start + k >= 0 and coalesce(get(h, start + k) = own[k], false), 1, 0))"
     width = f"least({PASSAGE}, size(agree))"
     stretch = f"transform(sequence(1, size(agree) - {width} + 1), s -> aggregate(slice(agree, s, {width}), 0, (a, x) -> a + x))"
+    # Few documents have hits; those without go before their words are hashed again.
+    hit = docs.join(hits.select(F.col("doc_id").alias("hit_id")), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
     found = (
-        held.join(near, F.col("doc_id").eqNullSafe(F.col("hit_id")))
+        hit.select("doc_id", word_hashes("text").alias("h"))
+        .join(near, F.col("doc_id").eqNullSafe(F.col("hit_id")))
         .select("doc_id", "item_id", "start", F.expr(agree).alias("agree"))
         .where(F.expr(f"array_max({stretch}) >= {AGREEING} * {width}"))
         .select("doc_id", "item_id", F.expr("aggregate(agree, 0, (a, x) -> a + x)").alias("matched"), "start", F.size("agree").alias("words"))
