@@ -56,7 +56,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _segments(other: bool = False) -> list[tuple[str, str]]:
+def _segments() -> list[tuple[str, str]]:
+    """Each segment of a fingerprint, with the other one."""
     high, low = "shiftrightunsigned(fp, 32)", "(fp & 4294967295L)"
     return [(high, low), (low, high)]
 
@@ -82,7 +83,7 @@ def _stars(signed: DataFrame) -> DataFrame:
 
 def _dense_links(members: DataFrame) -> DataFrame:
     """Links among members of widely shared variants, by signatures that blank bits on both sides."""
-    bits = "filter(flatten(transform(sequence(0, 30), i -> transform(sequence(i + 1, 31), j -> struct(i, j)))), x -> true)"
+    bits = "flatten(transform(sequence(0, 30), i -> transform(sequence(i + 1, 31), j -> struct(i, j))))"
     one = members.select(
         "fp",
         F.explode(
