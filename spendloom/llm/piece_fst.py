@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendloom.llm.stored import shipped
-from spendloom.llm.textblocks import mix
+from spendloom.llm.textblocks import map_batches, mix
 
 MARK = "▁"
 SHORT = 48
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _BATCH_CHARS = 1 << 20
 _PAIR_SLOTS = 1 << 21
 _RUN = re.compile(r"(?<=[^ ]) ")
@@ -117,7 +117,7 @@ class Transducer:
     def fits(self, a: int, b: int) -> bool:
         """Whether the merge machine follows piece ``a`` with piece ``b`` at weight 0."""
         if (found := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             found = self.pairs[(a, b)] = self.merged(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
         return found
@@ -268,25 +268,24 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", keep: list[str]
     new = ("token_ids", "n_tokens", "lossless")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
 
-    def run(batches):
+    def work(batch: pa.RecordBatch):
         own = machine.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            ids, same = [], []
-            for group in _groups(texts):
-                found = own.encode_batch(group)
-                ids += found
-                same += [own.decode(np.frombuffer(f, "<i4").tolist()) == t for f, t in zip(found, group)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield pa.record_batch(
-                [*batch.columns[1:], listed, pa.array(np.diff(offsets)), pa.array(same, pa.bool_())],
-                names=[*batch.schema.names[1:], *new],
-            )
+        texts = [t or "" for t in batch.column(0).to_pylist()]
+        ids, same = [], []
+        for group in _groups(texts):
+            found = own.encode_batch(group)
+            ids += found
+            same += [own.decode(np.frombuffer(f, "<i4").tolist()) == t for f, t in zip(found, group)]
+        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+        listed = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4")))
+        yield pa.record_batch(
+            [*batch.columns[1:], listed, pa.array(np.diff(offsets)), pa.array(same, pa.bool_())],
+            names=[*batch.schema.names[1:], *new],
+        )
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     return docs.select(F.col(text_col).alias("__text"), *(F.col(f"`{c}`") for c in keep)).mapInArrow(
-        run, f"{kinds}token_ids array<int>, n_tokens int, lossless boolean"
+        map_batches(work, 512), f"{kinds}token_ids array<int>, n_tokens int, lossless boolean"
     )
 
 
