@@ -139,6 +139,23 @@ def test_common_passage_with_different_neighbours(spark):
     assert all(set(range(20, 130)) <= covered[10 + s] for s in range(6))
 
 
+@pytest.mark.parametrize(("length", "fragment"), [(50, 20), (60, 20), (60, 45), (140, 30)])
+def test_repeat_whose_begin_also_stands_earlier(spark, length, fragment):
+    draw = random.Random(10)
+    passage = [f"p{k}" for k in range(length)]
+
+    def noise(n):
+        return [f"n{draw.randrange(10**6)}" for _ in range(n)]
+
+    first = noise(30) + passage[:fragment] + noise(8) + passage + noise(20)
+    second = noise(25) + passage + noise(30)
+    docs = spark.createDataFrame([(1, " ".join(first)), (2, " ".join(second))], "id long, text string")
+    got = [(r.start, r.end, r.first_start, r.first_end) for r in substring_dedup.repeated_passages(docs).collect()]
+    assert (25, 25 + length, 38 + fragment, 38 + fragment + length) in got
+    covered = {k for s, e, _, _ in got for k in range(s, e)}
+    assert covered == set(range(25, 25 + length))
+
+
 class Visible(HTMLParser):
     """Words outside head, scripts and styles, the brute way."""
 
