@@ -156,6 +156,29 @@ def test_repeat_whose_begin_also_stands_earlier(spark, length, fragment):
     assert covered == set(range(25, 25 + length))
 
 
+def test_lesser_documents_do_not_hide_exact_copies(spark):
+    """Earlier documents hold 40 to 49 words of each passage, from either end; all of it stands in two later ones."""
+    draw = random.Random(11)
+
+    def noise(n):
+        return [f"n{draw.randrange(10**6)}" for _ in range(n)]
+
+    texts, passages = {}, 40
+    for p in range(passages):
+        passage = [f"p{p}.{k}" for k in range(50)]
+        for n in range(40, 50):
+            texts[1000 + 100 * p + n] = noise(20) + (passage[:n] if (n + p) % 2 else passage[-n:]) + noise(20)
+        for copy in (1, 2):
+            texts[100_000 * copy + p] = noise(30) + passage + noise(30)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
+    covered = defaultdict(set)
+    for r in substring_dedup.repeated_passages(docs).collect():
+        covered[r.id].update(range(r.start, r.end))
+    brute = brute_repeats({i: " ".join(t) for i, t in texts.items()})
+    assert set(brute) == {200_000 + p for p in range(passages)}
+    assert [i for i in brute if not brute[i] <= covered[i]] == []
+
+
 class Visible(HTMLParser):
     """Words outside head, scripts and styles, the brute way."""
 
