@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from spendloom.llm.stored import written
 
 GAP = r"[\x09-\x0D -/:-@\[-`{-~]+"
-MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 2, 3, 4, 7))
+# Wherever words of a passage of 8 to 13 words are substituted as AGREEING admits, one of these finds it.
+MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 5, 6), (0, 1, 2, 5, 6))
 SPAN = 8
 PASSAGE = 13
 AGREEING = 0.8
@@ -27,12 +28,22 @@ def word_hashes(text: str) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(F.col(text)), GAP), ""), lambda w: F.xxhash64(w))
 
 
-def _keys(rows: DataFrame, id_col: str, place: str) -> DataFrame:
-    """(id, place, key): the hash of each window under each mask; rows under ``SPAN`` words have none."""
-    masked = ", ".join(f"xxhash64({', '.join(f'h[i + {o}]' if o else 'h[i]' for o in m)}, {k})" for k, m in enumerate(MASKS))
-    windows = F.expr(f"flatten(transform(sequence(0, size(h) - {SPAN}), i -> array({masked})))")
-    found = rows.where(F.size("h") >= SPAN).select(id_col, F.posexplode(windows).alias("at", "key"))
-    return found.select(id_col, F.expr(f"at div {len(MASKS)}").cast("int").alias(place), "key")
+def _short_masks(size: int) -> list[tuple[int, ...]]:
+    """Masks of an item under ``SPAN`` words: all of its words, or all but one where ``AGREEING`` admits that."""
+    if size - 1 < AGREEING * size:
+        return [tuple(range(size))]
+    return [tuple(range(size - 1)), *(tuple(k for k in range(size) if k != gap) for gap in range(1, size - 1))]
+
+
+def _keys(rows: DataFrame, id_col: str, place: str, masks) -> DataFrame:
+    """(id, place, key): the hash of each window under each mask, which slides to its own span."""
+
+    def windows(mask: tuple[int, ...]) -> str:
+        key = f"xxhash64({', '.join(f'h[i + {o}]' if o else 'h[i]' for o in mask)}, '{'.'.join(map(str, mask))}')"
+        return f"if(size(h) > {mask[-1]}, transform(sequence(0, greatest(size(h) - {mask[-1] + 1}, 0)), i -> struct(i as at, {key} as key)), array())"
+
+    found = rows.select(id_col, F.explode(F.expr(f"concat({', '.join(map(windows, masks))})")).alias("w"))
+    return found.select(id_col, F.col("w.at").cast("int").alias(place), F.col("w.key").alias("key"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -40,15 +51,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``start`` is the document's word under the item's first word (below 0 where that is cut off), ``matched`` the
     aligned words that agree, ``words`` those of the item; of several alignments the one with most agreeing words
-    counts, then the first. Null or empty texts, and items under ``SPAN`` words, hold and match nothing. Repeated
+    counts, then the first. Null or empty texts hold and match nothing. Repeated
     rows give one result, as do rows under one id; null ids are matched like any other; other columns aren't read.
     """
-    items = benchmark.select("item_id", word_hashes("text").alias("h")).where(F.size("h") >= SPAN).distinct()
+    items = benchmark.select("item_id", word_hashes("text").alias("h")).where(F.size("h") > 0).distinct()
     held = docs.select("doc_id", word_hashes("text").alias("h"))
-    item_keys = _keys(items, "item_id", "q").distinct()
+    # Documents are hashed under the masks of short items only if there are such items.
+    short = sorted(r[0] for r in items.where(F.size("h") < SPAN).select(F.size("h")).distinct().collect())
+    item_keys = _keys(items.where(F.size("h") >= SPAN), "item_id", "q", MASKS)
+    for size in short:
+        item_keys = item_keys.unionByName(_keys(items.where(F.size("h") == size), "item_id", "q", _short_masks(size)))
+    item_keys = item_keys.distinct()
+    masks = [*MASKS, *sorted({m for size in short for m in _short_masks(size)})]
     if item_keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         item_keys = F.broadcast(item_keys)  # 24 bytes a row; a larger benchmark is joined by shuffle
-    hits = _keys(held, "doc_id", "p").join(item_keys, "key").select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("start"))
+    hits = _keys(held, "doc_id", "p", masks).join(item_keys, "key").select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("start"))
     hits = written(hits.distinct(), "leak-hits")
     near = hits.join(items.withColumnRenamed("h", "own").withColumnRenamed("item_id", "own_id"), F.col("item_id").eqNullSafe(F.col("own_id")))
     near = near.select(F.col("doc_id").alias("hit_id"), "item_id", "start", "own")

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 from html.parser import HTMLParser
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -57,6 +58,23 @@ def test_leaks_tolerate_substitutions_only(spark):
     assert decontaminate.leaks(docs.limit(0), benchmark).collect() == decontaminate.leaks(docs, benchmark.limit(0)).collect() == []
 
 
+def test_every_admitted_substitution_leaves_a_hit(spark):
+    items, rows, wanted = [], [], set()
+    for size in (1, *range(4, 14)):
+        item = [f"w{size}n{k}" for k in range(size)]
+        items.append((size, " ".join(item)))
+        lost = max(n for n in range(size) if size - n >= 0.8 * size)
+        for n in range(lost + 2):
+            for gone in combinations(range(size), n):
+                text = " ".join(["x", *("y" if k in gone else w for k, w in enumerate(item)), "z"])
+                if n <= lost:
+                    wanted.add((len(rows), size, size - n))
+                rows.append((len(rows), text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.matched) for r in got} == wanted
+
+
 def test_unequal_items_of_a_null_id_are_found(spark):
     item = " ".join(f"w{k}" for k in range(20))
     docs = spark.createDataFrame([(1, item)], "doc_id long, text string")
