@@ -3,8 +3,9 @@
 The builder closes what HTML leaves implied (paragraphs before blocks, list items, definition terms, options, table
 cells, rows and sections), opens implied rows, moves stray content of a table before it, and ignores end tags that
 match nothing. Hidden are the head, scripts, styles, templates, closed details and dialogs, unselected options,
-fallback content of media, what carries ``hidden`` or hides itself by ``style``, and what a style sheet in the page
-hides by a plain selector (tag, class, id or tag.class). The renderer collapses white space outside ``pre``, separates
+fallback content of media, what carries ``hidden`` or hides itself by ``style``, and what the style sheets of the page
+hide by a selector of tag, classes and ids, unless a rule that wins over it shows it again; rules inside print and
+conditional at-rules are left out, and a rule that shows is taken to match if in doubt. The renderer collapses white space outside ``pre``, separates
 blocks by a line end and paragraphs by an empty line, marks and indents list items, and pads table cells to columns.
 """
 
@@ -21,11 +22,15 @@ from pyspark.sql import functions as F
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
 UNSEEN = set(
-    "head title script style template noscript iframe noembed noframes datalist object video audio canvas svg math map "
+    "head title script style template noscript iframe noembed noframes datalist object video audio canvas map "
     "area col colgroup param source track rp".split()
 )
+# What of a drawing or a formula isn't drawn.
+FOREIGN = {"svg", "math"}
+FOREIGN_UNSEEN = set("desc metadata defs symbol annotation annotation-xml".split())
+PRE = {"pre", "listing", "xmp", "plaintext", "textarea"}
 LOOSE = set(
-    "p h1 h2 h3 h4 h5 h6 blockquote pre listing xmp ul ol dl dir menu table figure article section aside nav header "
+    "p h1 h2 h3 h4 h5 h6 blockquote pre listing xmp plaintext ul ol dl dir menu table figure article section aside nav header "
     "footer main address form fieldset hr details dialog".split()
 )
 TIGHT = set("html body div li dt dd tr caption summary legend figcaption option optgroup center hgroup search".split())
@@ -55,9 +60,12 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'=<>`]+)))?")
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_SELECTOR = re.compile(r"[a-z][\w-]*|(?:[a-z][\w-]*)?[.#][\w-]+", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+_PART = re.compile(r"""((?:[^{};"']|"[^"]*"|'[^']*')*)([{};]|$)""")
+_SCREEN = re.compile(r"@layer\b.*|@media\s+(?:.*,)?\s*(?:only\s+)?(?:all|screen)\s*(?:,.*)?", re.I | re.S)
+_COMPOUND = re.compile(r"(?:[a-z][\w-]*|\*)?(?:[.#][\w-]+)*", re.I)
+_DYNAMIC = re.compile(r":(?!not\()(?:hover|focus|active|target|checked|visited|before|after|:)", re.I)
+_UNSURE = re.compile(r"\[[^\]]*\]|::?[\w-]+(?:\((?:[^()]|\([^()]*\))*\))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -136,7 +144,8 @@ class _Builder:
             self.start("tr", "")
         node = Node(tag, attributes)
         self._parent(tag).append(node)
-        if tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "path", "math")):
+        closed = attributes.endswith("/") and (tag in FOREIGN or any(n.tag in FOREIGN for n in self.open))
+        if tag not in VOID and not closed:
             self.open.append(node)
 
     def end(self, tag: str) -> None:
@@ -177,38 +186,115 @@ def parse(page: str) -> tuple[Node, list[str]]:
         elif m[2]:
             tag = m[2].lower()
             builder.start(tag, m[3])
-            if tag in RAW:
-                close = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|$)", re.I).search(page, at)
+            if tag in RAW and builder.open[-1].tag == tag:
+                close = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|$)", re.I).search(page, at) if tag != "plaintext" else None
                 inner = page[at : close.start()] if close else page[at:]
                 at = close.start() if close else n
                 if tag == "style":
                     builder.sheets.append(inner)
                 elif tag == "textarea":
                     builder.open[-1].children.append(unescape(inner))
+                elif tag in ("xmp", "plaintext"):
+                    builder.open[-1].children.append(inner)
     return builder.root, builder.sheets
 
 
-def _hidden_selectors(sheets: list[str]) -> set[str]:
-    out = set()
-    for sheet in sheets:
-        for m in _RULE.finditer(sheet):
-            if _HIDES.search(m[2]):
-                out.update(s for s in (x.strip() for x in m[1].split(",")) if _SELECTOR.fullmatch(s))
+class Rules:
+    """Rules of style sheets on ``display`` and ``visibility``, by one name that an element must have to match."""
+
+    def __init__(self, sheets: list[str]) -> None:
+        self.by_name: dict[str, list[tuple]] = {}
+        order = 0
+        for sheet in sheets:
+            for selectors, body in _style_rules(_COMMENT.sub(" ", sheet)):
+                found = _declared(body)
+                for selector in selectors.split(",") if found else ():
+                    order += 1
+                    self._add(selector.strip(), found, order)
+
+    def _add(self, selector: str, found: dict[str, tuple[bool, bool]], order: int) -> None:
+        plain, sure = selector, bool(selector) and _COMPOUND.fullmatch(selector) is not None
+        if not sure:
+            if _DYNAMIC.search(selector):
+                return
+            plain = re.split(r"[\s>+~]+", _UNSURE.sub("", selector).strip())[-1] or "*"
+            if not _COMPOUND.fullmatch(plain):
+                return
+        names = frozenset(x if x[0] in ".#" else x.lower() for x in re.findall(r"[.#]?[\w-]+|\*", plain))
+        rank = (selector.count("#"), len(re.findall(r"[.\[]|(?<!:):(?!:)", selector)), len(re.findall(r"(?:^|[\s>+~])[a-z]", selector, re.I)))
+        for what, (hides, important) in found.items():
+            # In doubt, what hides doesn't match and what shows does.
+            if sure or not hides:
+                self.by_name.setdefault(max(names, key=lambda x: (x[0] in ".#", x)), []).append((names, what, (important, *rank, order), hides))
+
+    def of(self, names: set[str]) -> dict[str, tuple]:
+        """For each property that is set, the winning (rank, hides)."""
+        out: dict[str, tuple] = {}
+        for name in names:
+            for needed, what, rank, hides in self.by_name.get(name, ()):
+                if needed <= names and (what not in out or out[what][0] < rank):
+                    out[what] = (rank, hides)
+        return out
+
+
+def _style_rules(sheet: str):
+    """(selectors, declarations) of the rules that always hold on a screen."""
+    at, skipped, inside = 0, 0, None
+    while at < len(sheet):
+        m = _PART.match(sheet, at)
+        if m is None or m.end() == at:
+            at += 1
+            continue
+        text, at = m[1].strip(), m.end()
+        if m[2] == "{":
+            if skipped or inside is not None or (text.startswith("@") and not _SCREEN.fullmatch(text)):
+                skipped += 1
+            elif not text.startswith("@"):
+                inside, body = text, []
+            continue
+        if inside is not None and not skipped:
+            body.append(text)
+        if m[2] == "}":
+            if skipped:
+                skipped -= 1
+            elif inside is not None:
+                yield inside, body
+                inside = None
+    if inside is not None:
+        yield inside, body
+
+
+def _declared(body: list[str]) -> dict[str, tuple[bool, bool]]:
+    """(hides, important) of ``display`` and ``visibility``, if they are set."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for line in body:
+        name, _, value = line.partition(":")
+        name, words = name.strip().lower(), value.lower().replace("!", " !").split()
+        if name in ("display", "visibility") and words:
+            important = "!important" in words or words[-2:] == ["!", "important"]
+            if name not in out or important >= out[name][1]:
+                out[name] = (words[0] in (("none",) if name == "display" else ("hidden", "collapse")), important)
     return out
 
 
-def visible(node: Node, hidden: set[str]) -> bool:
+def visible(node: Node, rules: Rules) -> bool:
     tag = node.tag
     if tag in UNSEEN:
         return False
     if tag == "dialog" and node.get("open") is None:
         return False
-    if hidden:
-        names = [f".{c}" for c in (node.get("class") or "").split()] + [f"#{i}" for i in [node.get("id")] if i]
-        if tag in hidden or any(x in hidden or tag + x in hidden for x in names):
-            return False
+    found: dict[str, tuple] = {}
+    if rules.by_name:
+        names = {f".{c}" for c in (node.get("class") or "").split()} | {f"#{i}" for i in [node.get("id")] if i}
+        found = rules.of(names | {tag, "*"})
+    if node.attributes and (style := node.get("style")):
+        for what, (hides, important) in _declared(_COMMENT.sub(" ", style).split(";")).items():
+            if what not in found or important or not found[what][0][0]:
+                found[what] = ((important,), hides)
+    if any(hides for _, hides in found.values()):
+        return False
     if node.attributes:
-        if node.get("hidden") is not None or _HIDES.search(node.get("style") or ""):
+        if node.get("hidden") is not None and "display" not in found:
             return False
         if tag == "input":
             return (node.get("type") or "").lower() != "hidden"
@@ -296,12 +382,12 @@ def _span(node: Node, name: str) -> int:
     return min(max(int(value), 1), 1000) if value.isdecimal() and len(value) < 6 else 1
 
 
-def render(root: Node, hidden: set[str]) -> str:
+def render(root: Node, rules: Rules) -> str:
     """The laid-out text of a tree; walks by a stack of its own, so depth is no limit."""
     lines = [_Lines()]
     lists: list[list] = []
     tables: list[list[list[tuple[str, int, int]]]] = []
-    pre = 0
+    pre = foreign = 0
     todo: list = [(root, False)]
     while todo:
         node, leaving = todo.pop()
@@ -310,11 +396,11 @@ def render(root: Node, hidden: set[str]) -> str:
             now.exactly(node) if pre else now.flow(node)
             continue
         tag = node.tag
-        gap = 2 if tag in LOOSE else 1 if tag in TIGHT else 0
+        gap = 2 if tag in LOOSE else 1 if tag in TIGHT or (foreign and tag == "text") else 0
         if tag in ("ul", "ol", "menu", "dir") and lists and (leaving is False or len(lists) > 1):
             gap = 1
         if not leaving:
-            if not visible(node, hidden):
+            if not visible(node, rules) or (foreign and tag in FOREIGN_UNSEEN):
                 continue
             if tag == "br":
                 now.owed, now.space = 0 if now.fresh else now.owed + 1, False
@@ -340,8 +426,9 @@ def render(root: Node, hidden: set[str]) -> str:
                 now.marker = mark
             elif tag in ("dd", "blockquote"):
                 now.indent.append("  ")
-            elif tag in ("pre", "listing", "xmp", "textarea"):
+            elif tag in PRE:
                 pre += 1
+            foreign += tag in FOREIGN
             todo.append((node, True))
             children = node.children
             if tag == "details" and node.get("open") is None:
@@ -352,6 +439,7 @@ def render(root: Node, hidden: set[str]) -> str:
                 children = chosen[-1:] if node.get("multiple") is None else options
             todo.extend((c, False) for c in reversed(children))
             continue
+        foreign -= tag in FOREIGN
         if tag in CELLS and tables:
             cell = lines.pop()
             if not tables[-1]:
@@ -369,7 +457,7 @@ def render(root: Node, hidden: set[str]) -> str:
         elif tag in ("li", "dd", "blockquote"):
             now.indent.pop()
             now.marker = ""
-        elif tag in ("pre", "listing", "xmp", "textarea"):
+        elif tag in PRE:
             pre -= 1
     return lines[0].text()
 
@@ -379,7 +467,7 @@ def page_text(page: str | None) -> str:
     if not page:
         return ""
     root, sheets = parse(page)
-    return render(root, _hidden_selectors(sheets))
+    return render(root, Rules(sheets))
 
 
 def extracted(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -253,6 +253,28 @@ def test_layout(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<style>@media print{.c{display:none}} .d{display:none}</style><p class=c>x</p><p class=d>y</p>z", "x\n\nz"),
+        ("<style>@media (max-width:9px){.c{display:none}}@media screen{.d{display:none}}</style><p class=c>x<p class=d>y", "x"),
+        ("<style>@import 'a';/* {.c{} */@supports (x:y){.c{display:none}}.d{color:red;display:none}</style><p class=c>x<p class=d>y", "x"),
+        ("<style>.tab{display:none}.tab.active{display:block}</style><p class=tab>x</p><p class='tab active'>y</p>", "y"),
+        ("<style>.a{display:block}.a{display:none}.b{display:none}.b{display:block}</style><p class=a>x</p><p class=b>y</p>", "y"),
+        ("<style>.m{display:none}.m:hover{display:block}.n .m{display:block}</style><p class=m>x</p>", "x"),
+        ("<style>.m{display:none}.m:hover{display:block}</style><p class=m>x</p>y", "y"),
+        ("<style>.m{display:none!important}#i{display:block}</style><p class=m id=i>x</p><p class=m style='display:block'>y</p>z", "z"),
+        ("<style>.m{display:none}</style><p class=m style='display:block'>y</p>z", "y\n\nz"),
+        ("a<xmp><b>&amp;\n c</xmp>d", "a\n\n<b>&amp;\n c\n\nd"),
+        ("a<plaintext>b</plaintext> <p>c", "a\n\nb</plaintext> <p>c"),
+        ("a <svg><title>t</title><defs><text>u</text></defs><style/><rect/><text>b</text><text>c</text></svg> d", "a\nb\nc\nd"),
+        ("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> b", "a x=1 b"),
+    ],
+)
+def test_nothing_visible_is_dropped(page, text):
+    assert html_text.page_text(page) == text
+
+
 def test_deep_and_repeated_pages(spark):
     deep = "<div>" * 30_000 + "<ul><li>" * 300 + "x"
     assert html_text.page_text(deep).strip().endswith("x")
