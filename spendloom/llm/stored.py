@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from spendloom.session import new_folder, shared_folder
@@ -22,6 +25,34 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def shipped(spark: SparkSession, value):
+class Shipped:
+    """A broadcast model with its own code, so that workers need no copy of this package.
+
+    The bytes are loaded once per worker; the loaded model hangs on the broadcast, which the worker keeps for its
+    tasks and drops with the first task that doesn't use it.
+    """
+
+    def __init__(self, broadcast) -> None:
+        self.broadcast = broadcast
+
+    @property
+    def value(self):
+        if not hasattr(self.broadcast, "model"):
+            self.broadcast.model = pickle.loads(self.broadcast.value)
+        return self.broadcast.model
+
+
+_sent: list = []
+
+
+def shipped(spark: SparkSession, value) -> Shipped:
     """Broadcast of a model whose size its caller bounds; a worker keeps one copy for all its tasks."""
-    return spark.sparkContext.broadcast(value)
+    broadcast = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    _sent.append(broadcast)
+    return Shipped(broadcast)
+
+
+def recall() -> None:
+    """Destroy all models sent so far; call it when every frame that uses them is written."""
+    while _sent:
+        _sent.pop().destroy()

@@ -92,7 +92,7 @@ def test_tokens_are_the_librarys(stages):
 def test_registered_names():
     found = entry.queries()
     assert "pipeline" in found and set(queries()) <= set(found)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 14))
 
 
 def test_odd_rows(spark, tmp_path):
