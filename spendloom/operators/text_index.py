@@ -1,12 +1,12 @@
 """BM25 over an inverted index, for batches of queries.
 
-Index tables: ``postings(term, item_id, tf, doc_len)``, ``terms(term, df)`` and a one-row ``stats``. The
-document length travels with the posting, so scoring needs no join per document.
+Index tables: ``postings(term, item_id, tf, doc_len)``, ``terms(term, df)``, a one-row ``stats``, and the postings once
+more in blocks that carry their largest contribution (``block_postings``), which searches read. The document length
+travels with the posting, so scoring needs no join per document.
 
-Postings are clustered by item, not by term. The postings of a very common term are therefore spread evenly
-over all tasks, and the score of an item is summed where its postings lie: after the one exchange that
-clusters the items (none for a stored index, which is bucketed by item), only the k best results of each task
-are shuffled. Inside a bucket postings are sorted by term, so a query skips the row groups of other terms.
+Items lie in buckets of about ``BUCKET_TOKENS`` tokens, not by term, so the postings of a very common term are spread
+over all tasks. A task scores the items of its bucket exactly and returns the k best per query. An index that isn't
+stored makes the blocks of the asked terms on the way.
 """
 
 from __future__ import annotations
@@ -20,24 +20,20 @@ from pyspark.sql import functions as F
 
 from spendloom.functions.stemming import stems, vocabulary
 from spendloom.functions.text import STOP_WORDS, clean_query, search_tokens
+from spendloom.operators import block_postings
 
 # Usual BM25 constants (Robertson & Zaragoza 2009).
 K1 = 1.2
 B = 0.75
-SCORE_DIGITS = 6
-BUCKET_TOKENS = 2_000_000  # of indexed text in a bucket of a stored index
-# Query terms are broadcast up to this many (query, term) rows, some 30 MB; more are joined by shuffle.
-BROADCAST_TERMS = 500_000
-# Clusters the items of an index built on the fly. A hash column of its own, because Spark drops a repartition
-# by a column that happens to cluster the input already and then packs a small input into one task, where
-# many queries would meet all postings.
-SHARD = "item_hash"
+SCORE_DIGITS = block_postings.SCORE_DIGITS
+BUCKET_TOKENS = 300_000  # of indexed text in a bucket
 
 
 class TextIndex(NamedTuple):
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    blocks: DataFrame | None = None
 
 
 def build_index(
@@ -47,25 +43,30 @@ def build_index(
     stop_words: Sequence[str] = STOP_WORDS,
     partitions: int | None = None,
 ) -> TextIndex:
-    """Index the text columns of the items, whole texts, lazily."""
+    """Index the text columns of the items, whole texts, lazily.
+
+    ``partitions`` is the least number of buckets; more follow from the length of the texts.
+    """
     text = F.concat_ws(" ", *[F.col(c) for c in columns])
     parts = partitions or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    clustered = items.select(
-        F.col(key).alias("item_id"), F.xxhash64(key).alias(SHARD), text.alias("text")
-    ).repartition(parts, SHARD)
-    docs = clustered.select("item_id", SHARD, search_tokens(F.col("text"), stop_words).alias("tokens")).select(
-        "item_id", SHARD, "tokens", F.size("tokens").cast("bigint").alias("doc_len")
+    # Items are dealt by a hash column of their own: Spark drops a repartition by a column that happens to cluster the
+    # input already, and then packs a small input into one task.
+    dealt = items.select(F.col(key).alias("item_id"), F.xxhash64(key).alias("_hash"), text.alias("text")).repartition(parts, "_hash")
+    docs = dealt.select("item_id", "_hash", search_tokens(F.col("text"), stop_words).alias("tokens")).select(
+        "item_id", "_hash", "tokens", F.size("tokens").cast("bigint").alias("doc_len")
     )
     postings = (
-        _exploded(docs, "item_id", SHARD, "doc_len", tokens=F.col("tokens"))
-        .groupBy("term", "item_id", SHARD, "doc_len")
+        _exploded(docs, "item_id", "_hash", "doc_len", tokens=F.col("tokens"))
+        .groupBy("term", "item_id", "_hash", "doc_len")
         .agg(F.count(F.lit(1)).alias("tf"))
-        .select("term", "item_id", "tf", "doc_len", SHARD)
+        .select("term", "item_id", "tf", "doc_len")
     )
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tokens = F.coalesce(F.sum("doc_len"), F.lit(0))
     stats = docs.agg(
         F.count(F.lit(1)).alias("n_items"),
         (F.sum("doc_len") / F.count_if(F.col("doc_len") > 0)).alias("avg_len"),
+        F.greatest(F.lit(parts), F.ceil(tokens / BUCKET_TOKENS)).cast("int").alias("buckets"),
     )
     return TextIndex(postings, terms, stats)
 
@@ -73,38 +74,42 @@ def build_index(
 def stemmed(index: TextIndex) -> TextIndex:
     """The index over word stems: only the distinct terms are stemmed, postings are joined with them."""
     by_stem = index.postings.join(vocabulary(index.terms), "term").drop("term").withColumnRenamed("stem", "term")
-    owner = [c for c in index.postings.columns if c not in ("term", "tf")]
-    postings = by_stem.groupBy("term", *owner).agg(F.sum("tf").alias("tf")).select(*index.postings.columns)
+    postings = by_stem.groupBy("term", "item_id", "doc_len").agg(F.sum("tf").alias("tf")).select(*index.postings.columns)
     return TextIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), index.stats)
 
 
-def write_index(index: TextIndex, name: str, path: str, buckets: int | None = None) -> None:
-    """Rebuild the stored index: a postings table bucketed by item, and plain files for the rest.
+def _with_blocks(index: TextIndex, postings: DataFrame | None = None) -> DataFrame:
+    """The blocks of the index, or of some of its postings."""
+    # One subquery, which every use of a number shares.
+    stats = index.stats.select(F.struct("n_items", "avg_len", "buckets")).scalar()
+    idf = F.log((stats["n_items"] - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    length = 1.0 - B + B * F.col("doc_len") / stats["avg_len"]
+    part = F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * length)
+    return block_postings.block_postings(
+        index.postings if postings is None else postings, index.terms, part, stats["buckets"], idf
+    )
+
+
+def write_index(index: TextIndex, path: str) -> None:
+    """Rebuild the stored index: postings, terms and stats once, then the blocks from them.
 
-    The number of buckets follows from the length of the indexed texts, so that tasks over them stay alike in size.
+    Blocks are partitioned by a hash of the term and, inside a partition, ranged by term and bucket over files.
     """
     spark = index.postings.sparkSession
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    if buckets is None:
-        stats = spark.read.parquet(f"{path}/stats").first()
-        buckets = 1 + int(stats["n_items"] * (stats["avg_len"] or 0) // BUCKET_TOKENS)
-    (
-        index.postings.drop(SHARD)
-        .repartition(buckets, "item_id")
-        .write.mode("overwrite")
-        .bucketBy(buckets, "item_id")
-        .sortBy("term")
-        .option("path", f"{path}/postings")
-        .saveAsTable(f"{name}_postings")
-    )
-    counted = spark.table(f"{name}_postings").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    counted.write.mode("overwrite").parquet(f"{path}/terms")
+    for name in ("postings", "stats"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    postings, stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "stats"))
+    postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    stored = TextIndex(postings, spark.read.parquet(f"{path}/terms"), stats)
+    blocks = _with_blocks(stored)
+    files = max(1, stats.first()["buckets"])
+    blocks.repartitionByRange(files, "part", "term", "bucket").sortWithinPartitions("part", "term", "bucket").write.mode(
+        "overwrite"
+    ).partitionBy("part").parquet(f"{path}/blocks")
 
 
-def read_index(spark: SparkSession, name: str, path: str) -> TextIndex:
-    return TextIndex(
-        spark.table(f"{name}_postings"), spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/stats")
-    )
+def read_index(spark: SparkSession, path: str) -> TextIndex:
+    return TextIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats", "blocks")])
 
 
 def query_terms(queries: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
@@ -137,36 +142,12 @@ def keyword_search(
     wanted = query_terms(queries, stop_words)
     if stemming:
         wanted = wanted.withColumn("term", stems(F.col("term"))).distinct()
-    distinct_terms = wanted.select("term").distinct()
-    # Only postings and frequencies of asked terms are read on; Catalyst moves the semi join below the
-    # aggregate when the index is built on the fly.
-    postings = index.postings.join(distinct_terms, "term", "left_semi")
-    terms = index.terms.join(distinct_terms, "term", "left_semi")
-    n_items = index.stats.select("n_items").scalar()
-    avg_len = index.stats.select("avg_len").scalar()
-
-    idf = F.log((n_items - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    weighted = wanted.join(terms, "term").select("query_id", "term", idf.alias("idf"))
-    length = 1.0 - B + B * F.col("doc_len") / avg_len
-    owner = ["item_id", *[c for c in postings.columns if c == SHARD]]
-    parts = postings.select(
-        "term",
-        *owner,
-        (F.col("tf") * (K1 + 1.0) / (F.col("tf") + K1 * length)).alias("part"),
-    )
-    if scope is not None:
-        parts = parts.join(scope.select("item_id"), "item_id", "left_semi")
-    # The asked terms are counted, then broadcast, so that postings stay where they lie. More terms than the
-    # bound go through a shuffle join, whose skew handling splits the postings of a common term.
-    if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        weighted = F.broadcast(weighted)
-    scores = (
-        parts.join(weighted, "term")
-        .groupBy("query_id", *owner)
-        .agg(F.round(F.sum(F.col("idf") * F.col("part")), SCORE_DIGITS).alias("score"))
-        .select("query_id", "item_id", "score")
-    )
-    return rank_results(scores, k, "keyword")
+    blocks = index.blocks
+    if blocks is None:
+        # Only postings of asked terms get on; Catalyst moves the semi join below their aggregate.
+        blocks = _with_blocks(index, index.postings.join(wanted.select("term").distinct(), "term", "left_semi"))
+    buckets = index.stats.select(F.struct("n_items", "avg_len", "buckets")).scalar()["buckets"]
+    return rank_results(block_postings.search(blocks, buckets, wanted, k, scope), k, "keyword")
 
 
 def rank_results(scores: DataFrame, k: int, source: str) -> DataFrame:

@@ -2,12 +2,13 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spendloom.functions.stemming import stem
 from spendloom.functions.text import english_stop_words
-from spendloom.operators import fusion, spend, vector_search
+from spendloom.operators import block_postings, fusion, spend, vector_search
 from spendloom.operators import text_index as ti
 from tests.conftest import rows
 
@@ -67,24 +68,95 @@ def test_scope_applies_before_the_cut(spark):
     assert [(r["item_id"], r["rank"]) for r in found] == [("c", 1)]
 
 
-def test_shuffle_join_gives_the_same(spark, monkeypatch):
-    index = ti.build_index(corpus(spark), ["text"])
-    queries = asked(spark, (1, "bond paper"), (2, "diesel"))
-    before = rows(ti.keyword_search(index, queries, 5), "query_id", "rank")
-    monkeypatch.setattr(ti, "BROADCAST_TERMS", 1)
-    assert rows(ti.keyword_search(index, queries, 5), "query_id", "rank") == before
-
-
-def test_stored_index_gives_the_same_without_a_score_shuffle(spark, tmp_path):
-    index = ti.build_index(corpus(spark), ["text"])
-    ti.write_index(index, "stored_docs", str(tmp_path), buckets=4)
-    stored = ti.read_index(spark, "stored_docs", str(tmp_path))
+def test_stored_index_gives_the_same(spark, tmp_path):
+    index = ti.build_index(corpus(spark), ["text"], partitions=4)
+    ti.write_index(index, str(tmp_path))
+    stored = ti.read_index(spark, str(tmp_path))
     queries = asked(spark, (1, "bond paper"), (2, "fuel paper"))
     mine, theirs = (ti.keyword_search(i, queries, 5) for i in (index, stored))
     assert rows(mine, "query_id", "rank") == rows(theirs, "query_id", "rank")
     plan = theirs._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(query_id" in plan
-    assert "hashpartitioning(query_id#" in plan and ", item_id#" not in plan.split("Exchange hashpartitioning(query_id")[1].split(")")[0]
+    # Only partitions of asked terms are read, and no rows of (query, item) are dealt.
+    assert "dynamicpruning" in plan and "hashpartitioning(query_id, item_id" not in plan
+
+
+def block_table(seed, n_items, terms, block=16):
+    """Blocks of random postings, and the contribution of every (term, item)."""
+    random = np.random.default_rng(seed)
+    blocks, parts = [], {}
+    for term in terms:
+        docs = np.flatnonzero(random.random(n_items) < random.choice([0.02, 0.3, 0.9]))
+        idf = float(random.choice([0.1, 1.0, 5.0]))
+        # Few distinct values make ties.
+        values = random.choice([0.25, 0.5, 1.5, 2.0], len(docs)) if seed % 2 else random.random(len(docs))
+        parts |= {(term, int(d)): float(v) * idf for d, v in zip(docs, values)}
+        for at in range(0, len(docs), block):
+            d, v = docs[at : at + block], values[at : at + block]
+            blocks.append({"term": term, "idf": idf, "docs": d.tolist(), "ids": [f"i{x:05}" for x in d], "parts": v.tolist(), "top": float(v.max())})
+    random.shuffle(blocks)
+    kinds = pa.schema([("term", pa.string()), ("idf", pa.float64()), ("docs", pa.list_(pa.int32())), ("ids", pa.list_(pa.string())), ("parts", pa.list_(pa.float64())), ("top", pa.float64())])
+    return pa.Table.from_pylist(blocks, kinds), parts
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_blocks_rank_as_brute_force(seed):
+    terms = [f"t{k}" for k in range(8)]
+    table, parts = block_table(seed, 900, terms)
+    random = np.random.default_rng(seed)
+    allowed = None if seed % 3 else [f"i{x:05}" for x in range(900) if x % 7 < 3]
+    bucket = block_postings.Bucket(table, None if allowed is None else pa.array(allowed))
+    for _ in range(30):
+        names = [str(t) for t in random.choice([*terms, "absent"], random.integers(1, 7), replace=False)]
+        k = int(random.choice([1, 3, 20, 2000]))
+        scores = Counter()
+        for (term, doc), part in parts.items():
+            if term in names and (allowed is None or f"i{doc:05}" in allowed):
+                scores[doc] += part
+        best = sorted(((-round(v, 6), d) for d, v in scores.items()))[:k]
+        docs, found = bucket.best(names, k)
+        assert [(round(-s, 6) + 0.0, int(d)) for s, d in zip(found, docs)] == [(round(s, 6) + 0.0, d) for s, d in best]
+        assert bucket.ids_of(names, docs) == [f"i{d:05}" for d in docs]
+
+
+def test_blocks_under_the_kth_score_are_skipped():
+    blocks = [{"term": "rare", "idf": 9.0, "docs": [5, 700], "ids": ["a", "b"], "parts": [1.0, 2.0], "top": 2.0}]
+    for at in range(0, 1000, 10):
+        blocks.append({"term": "common", "idf": 0.1, "docs": list(range(at, at + 10)), "ids": ["x"] * 10, "parts": [1.0] * 10, "top": 1.0})
+    bucket = block_postings.Bucket(pa.Table.from_pylist(blocks))
+    docs, scores = bucket.best(["common", "rare"], 1)
+    # Of a hundred blocks of the common term only the best item's is looked into.
+    assert (docs.tolist(), scores.tolist(), bucket.opened) == ([700], [18.1], 2)
+
+
+def test_many_queries_and_buckets_equal_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(block_postings, "QUERY_ROWS", 7)
+    monkeypatch.setattr(block_postings, "BLOCK", 4)
+    monkeypatch.setattr(ti, "BUCKET_TOKENS", 300)
+    random = np.random.default_rng(4)
+    words = [f"{a}{b}" for a in "bcdfghjk" for b in ("ak", "el", "ux")]
+    weights = 1 / np.arange(1, len(words) + 1)
+    texts = [" ".join(random.choice(words, random.integers(1, 12), p=weights / weights.sum())) for _ in range(300)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    queries = [(q, " ".join(random.choice(words, 3))) for q in range(40)] + [(40, "zzz"), (41, "")]
+    index = ti.build_index(items, ["text"], partitions=2)
+    assert index.stats.first()["buckets"] > 4
+    ti.write_index(index, str(tmp_path))
+    docs = [t.split() for t in texts]
+    average = sum(map(len, docs)) / len(docs)
+    expected = {}
+    for q, text in queries:
+        scores = Counter()
+        for term in set(text.split()):
+            df = sum(term in d for d in docs)
+            for i, d in enumerate(docs):
+                if tf := d.count(term):
+                    scores[i] += math.log((300 - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / average))
+        if scores:
+            expected[q] = sorted((-round(v, 6), i) for i, v in scores.items())[:6]
+    found = {}
+    for r in ti.keyword_search(ti.read_index(spark, str(tmp_path)), spark.createDataFrame(queries, "query_id int, query_text string"), 6).collect():
+        found.setdefault(r["query_id"], []).append((-r["score"], r["item_id"]))
+    assert {q: sorted(v) for q, v in found.items()} == expected
 
 
 def vectors(spark, n=400, width=8, copies=0, seed=3):
