@@ -12,6 +12,8 @@ A search meets (bucket, queries) groups by equality joins: blocks of asked terms
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -104,7 +106,7 @@ class Bucket:
                 self.terms[names[lo]] = Postings(*kept, sizes, top[lo:hi])
         self.scores = np.zeros(int(flat.max()) + 1)
 
-    def best(self, names: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    def best(self, names: Iterable[str], k: int) -> tuple[np.ndarray, np.ndarray]:
         """(items' numbers, rounded scores) of the k best, ties by number.
 
         Terms are taken by falling bound. Once the rest of the terms together can't lift an unseen item to the k-th
@@ -146,7 +148,7 @@ class Bucket:
             hit = docs[where] == own
             self.scores[own[hit]] += term.parts[term.start[block] + where[hit]]
 
-    def ids_of(self, names: list[str], docs: np.ndarray) -> list:
+    def ids_of(self, names: Iterable[str], docs: np.ndarray) -> list:
         """Ids of items that match one of the terms."""
         out: list = [None] * len(docs)
         for name in names:
@@ -165,21 +167,22 @@ def _kth(scores: np.ndarray, k: int, floor: float) -> float:
 def search(blocks: DataFrame, buckets: Column, asked: DataFrame, k: int, scope: DataFrame | None = None) -> DataFrame:
     """(query_id, item_id, score) of the k best items of each bucket per query.
 
-    ``asked`` has the distinct (query_id, term); ``scope`` the allowed item ids.
+    ``asked`` has (query_id, terms); several rows of one query ask all their terms. ``scope`` has the allowed item ids.
     """
     id_type, query_type = blocks.schema["ids"].dataType.elementType, asked.schema["query_id"].dataType
-    lots = F.ceil(asked.select(F.count_distinct("query_id") / QUERY_ROWS).scalar()).cast("int")
-    asked = asked.withColumn("lot", F.pmod(F.xxhash64("query_id"), F.greatest(lots, F.lit(1))).cast("int"))
+    lots = F.greatest(asked.select(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int")).scalar(), F.lit(1))
+    asked = asked.select("query_id", "terms", F.pmod(F.xxhash64("query_id"), lots).cast("int").alias("lot"))
     # The comparison lets the planner see that the asked terms select partitions.
-    wanted = asked.select(term_part().alias("part"), "term", "lot").where("part >= 0").distinct()
+    wanted = asked.select(F.explode("terms").alias("term"), "lot").select(term_part().alias("part"), "term", "lot")
     group = ("bucket", "lot")
-    stored = blocks.join(wanted, ["part", "term"]).select(*group, "term", "idf", "docs", "ids", "parts", "top")
+    stored = blocks.join(wanted.where("part >= 0").distinct(), ["part", "term"])
+    stored = stored.select(*group, "term", "idf", "docs", "ids", "parts", "top")
     every_bucket = F.explode(F.sequence(F.lit(0), buckets.cast("int") - 1)).alias("bucket")
-    queries = asked.groupBy("lot", "query_id").agg(F.collect_list("term").alias("terms")).select("lot", "query_id", "terms", every_bucket)
+    queries = asked.where(F.size("terms") > 0).select("lot", "query_id", "terms", every_bucket)
     queries = queries.withColumn("item_id", F.lit(None).cast(id_type))
     if scope is not None:
         allowed = scope.select(
-            F.explode(F.sequence(F.lit(0), F.greatest(lots, F.lit(1)) - 1)).alias("lot"),
+            F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot"),
             F.lit(None).cast(query_type).alias("query_id"), F.lit(None).cast("array<string>").alias("terms"),
             F.pmod(F.xxhash64("item_id"), buckets).cast("int").alias("bucket"), "item_id",
         )
@@ -193,9 +196,13 @@ def search(blocks: DataFrame, buckets: Column, asked: DataFrame, k: int, scope:
         of_query = right.filter(pc.is_valid(right["terms"]))
         allowed = pc.drop_null(right["item_id"]).combine_chunks() if scoped else None
         own = Bucket(left, allowed)
-        owners, ids, scores = [], [], []
+        asks: dict = {}
         for query, names in zip(of_query["query_id"].to_pylist(), of_query["terms"].to_pylist()):
-            if own.terms.keys() & names:
+            asks.setdefault(query, set()).update(names)
+        owners, ids, scores = [], [], []
+        for query, names in asks.items():
+            names = own.terms.keys() & names
+            if names:
                 docs, found = own.best(names, k)
                 owners += [query] * len(docs)
                 ids += own.ids_of(names, docs)

@@ -85,9 +85,12 @@ def hybrid_search(
     region: str | None = None,
     agency: str | None = None,
     stop_words: Sequence[str] = STOP_WORDS,
+    catalogue: DataFrame | None = None,
 ) -> HybridResult:
     """Keyword and vector retrieval for a batch of queries, fused, with spend over the whole pool.
 
+    With a ``catalogue`` vectors are joined with it before the cut, so a vector without an item takes no rank.
+
     ``queries`` has (query_id, query_text) and, when vectors are searched too, query_vector. Without a
     ``corpus`` or vectors the keyword list stands alone. A query without any candidate gets the spend of the
     whole filter when there is a filter, and zeros when there is none.
@@ -99,6 +102,8 @@ def hybrid_search(
     # at most ``limit`` rows per query, read by the fusion, the pool and the spend
     keyword = stored(keyword_search(index, asked, limit, scope, stop_words), "keyword-list")
     if corpus is not None and "query_vector" in queries.columns:
+        if catalogue is not None:
+            corpus = corpus.join(catalogue.select("item_id"), "item_id", "left_semi")
         vector = stored(vector_search(corpus, asked, limit, scope), "vector-list")
     else:
         vector = keyword.filter(F.lit(False))

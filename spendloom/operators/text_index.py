@@ -34,6 +34,7 @@ class TextIndex(NamedTuple):
     terms: DataFrame
     stats: DataFrame
     blocks: DataFrame | None = None
+    buckets: int | None = None
 
 
 def build_index(
@@ -109,13 +110,15 @@ def write_index(index: TextIndex, path: str) -> None:
 
 
 def read_index(spark: SparkSession, path: str) -> TextIndex:
-    return TextIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats", "blocks")])
+    postings, terms, stats, blocks = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats", "blocks"))
+    return TextIndex(postings, terms, stats, blocks, stats.first()["buckets"])
 
 
 def query_terms(queries: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """Distinct (query_id, term) of the cleaned query texts."""
-    tokens = F.array_distinct(search_tokens(clean_query(F.col("query_text")), stop_words))
-    return _exploded(queries, "query_id", tokens=tokens)
+    """(query_id, terms) of the cleaned query texts, each term once."""
+    return queries.select(
+        "query_id", F.array_distinct(search_tokens(clean_query(F.col("query_text")), stop_words)).alias("terms")
+    )
 
 
 def _exploded(df: DataFrame, *keep: str, tokens: Column) -> DataFrame:
@@ -141,12 +144,16 @@ def keyword_search(
     """
     wanted = query_terms(queries, stop_words)
     if stemming:
-        wanted = wanted.withColumn("term", stems(F.col("term"))).distinct()
+        words = _exploded(wanted, "query_id", tokens=F.col("terms"))
+        wanted = words.groupBy("query_id").agg(F.collect_set(stems(F.col("term"))).alias("terms"))
     blocks = index.blocks
     if blocks is None:
         # Only postings of asked terms get on; Catalyst moves the semi join below their aggregate.
-        blocks = _with_blocks(index, index.postings.join(wanted.select("term").distinct(), "term", "left_semi"))
-    buckets = index.stats.select(F.struct("n_items", "avg_len", "buckets")).scalar()["buckets"]
+        blocks = _with_blocks(index, index.postings.join(_exploded(wanted, tokens=F.col("terms")).distinct(), "term", "left_semi"))
+    if index.buckets is not None:
+        buckets = F.lit(index.buckets)
+    else:
+        buckets = index.stats.select(F.struct("n_items", "avg_len", "buckets")).scalar()["buckets"]
     return rank_results(block_postings.search(blocks, buckets, wanted, k, scope), k, "keyword")
 
 

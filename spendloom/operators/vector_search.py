@@ -1,8 +1,8 @@
-"""Cosine search: exact over every vector, and approximate over cells.
+"""Cosine search: exact over every vector in tiles, and approximate over cells.
 
-The corpus is never shuffled and no pair is emitted: each task multiplies its Arrow batches with one block
-of query vectors and keeps the k best per query. A block is at most ``BLOCK_ROWS`` queries; more queries
-take more passes over the corpus.
+Queries and corpus are dealt into blocks by a hash of their id. Each corpus block meets each query block in a tile, by an
+equality join on the tile's two numbers; a tile multiplies two bounded matrices and returns k rows per query. Nothing
+is collected, and the corpus is read once whatever the number of queries.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +19,12 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from spendloom.operators.text_index import SCORE_DIGITS, rank_results
 
-BLOCK_ROWS = 2048
+#: Queries and corpus vectors of a tile.
+BLOCK_ROWS = 1024
+CORPUS_ROWS = 8192
 CELL_SLICE_ROWS = 20_000
+#: Queries multiplied at once inside a tile.
+_STEP = 256
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -96,34 +100,26 @@ def _usable(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull() & (longest > 0))
 
 
-def _block_search(
-    corpus: DataFrame,
-    block: list,
-    k: int,
-    id_type: T.DataType,
-    query_type: T.DataType,
-) -> DataFrame:
-    spark = corpus.sparkSession
-    query_ids = np.array([r["query_id"] for r in block], dtype=object)
-    unit = _unit(np.array([r["query_vector"] for r in block], dtype=np.float64))
-    shared = spark.sparkContext.broadcast((query_ids, unit))
-    schema = _result_schema(query_type, id_type)
-    arrow = to_arrow_schema(schema)
+def _tile_top(items: pa.Table, asked: pa.Table, k: int, arrow: pa.Schema) -> pa.Table:
+    """The k best items of a tile per query."""
+    if not items.num_rows or not asked.num_rows:
+        return arrow.empty_table()
+    items, asked = items.combine_chunks(), asked.combine_chunks()
+    ids, owners = items["item_id"].to_numpy(), asked["query_id"].to_numpy()
+    vectors, wanted = _matrix(items["embedding"].combine_chunks()), _matrix(asked["query_vector"].combine_chunks())
+    if vectors.shape[1] != wanted.shape[1]:
+        raise ValueError(f"query width {wanted.shape[1]}, corpus width {vectors.shape[1]}")
+    vectors, wanted = _unit(vectors), _unit(wanted)
+    top = _TopK(len(owners), k)
+    for at in range(0, len(owners), _STEP):
+        scores = np.round(wanted[at : at + _STEP] @ vectors.T, SCORE_DIGITS) + 0.0
+        top.add(ids, scores, range(at, min(at + _STEP, len(owners))))
+    return pa.Table.from_batches(list(top.batches(owners, arrow)), schema=arrow)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owners, queries = shared.value
-        top = _TopK(len(owners), k)
-        for batch in batches:
-            if batch.num_rows:
-                ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
-                vectors = _matrix(batch.column(1))
-                if vectors.shape[1] != queries.shape[1]:
-                    raise ValueError(f"query width {queries.shape[1]}, corpus width {vectors.shape[1]}")
-                scores = np.round(queries @ _unit(vectors).T, SCORE_DIGITS) + 0.0
-                top.add(ids, scores, range(len(owners)))
-        yield from top.batches(owners, arrow)
 
-    return corpus.select("item_id", "embedding").mapInArrow(search, schema)
+def _blocks_of(df: DataFrame, rows: int) -> Column:
+    """Number of blocks of about ``rows`` rows, as a subquery of the plan."""
+    return F.greatest(df.select(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int")).scalar(), F.lit(1))
 
 
 def vector_search(
@@ -131,44 +127,44 @@ def vector_search(
 ) -> DataFrame:
     """Exact top k items per query by cosine: (query_id, item_id, score, rank, source).
 
-    ``corpus`` has (item_id, embedding), ``queries`` (query_id, query_vector). ``scope`` holds the allowed
-    item ids and applies before the ranking. Queries are asked in blocks of at most ``BLOCK_ROWS``, each of which
-    passes through the driver to the tasks; every block reads the corpus once and moves none of it. Equal rows of
+    ``corpus`` has (item_id, embedding), ``queries`` (query_id, query_vector). ``scope`` holds the allowed item ids, or
+    is the catalogue itself, and applies before the ranking, so no rank goes to an item outside. Equal rows of
     ``queries`` count once.
     """
-    kept = _usable(corpus, "embedding")
+    kept = _usable(corpus.select("item_id", "embedding"), "embedding")
     if scope is not None:
         kept = kept.join(scope.select("item_id"), "item_id", "left_semi")
     asked = _usable(queries.select("query_id", "query_vector"), "query_vector").distinct()
-    id_type, query_type = corpus.schema["item_id"].dataType, queries.schema["query_id"].dataType
-    found = corpus.sparkSession.createDataFrame([], _result_schema(query_type, id_type))
-    for block in _blocks(asked):
-        found = found.unionByName(_block_search(kept, block, k, id_type, query_type))
+    schema = _result_schema(queries.schema["query_id"].dataType, corpus.schema["item_id"].dataType)
+    arrow = to_arrow_schema(schema)
+    n_corpus, n_asked = _blocks_of(corpus, CORPUS_ROWS), _blocks_of(queries, BLOCK_ROWS)
+
+    def dealt(df: DataFrame, own: str, n_own: Column, other: str, n_other: Column, *hashed: str) -> DataFrame:
+        """Each row in its own block, once per block of the other side."""
+        block = F.pmod(F.xxhash64(*hashed), n_own).cast("int")
+        return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), n_other - 1)))
+
+    stored = dealt(kept, "corpus_block", n_corpus, "query_block", n_asked, "item_id")
+    wanted = dealt(asked, "query_block", n_asked, "corpus_block", n_corpus, "query_id", "query_vector")
+    # Corpus and queries may be the same frame; the aliases give the queries columns of their own.
+    wanted = wanted.select(*[F.col(c).alias(c) for c in wanted.columns])
+    tile = ("corpus_block", "query_block")
+    found = stored.groupBy(*tile).cogroup(wanted.groupBy(*tile)).applyInArrow(lambda items, asks: _tile_top(items, asks, k, arrow), schema)
     return rank_results(found, k, "vector")
 
 
-def _blocks(asked: DataFrame) -> Iterator[list]:
-    """Blocks of distinct queries by their hash, each checked against the bound and halved until it holds."""
-    todo = [(1, 0)]
-    while todo:
-        parts, b = todo.pop()
-        own = asked.filter(F.pmod(F.xxhash64("query_id", "query_vector"), F.lit(parts)) == b)
-        rows = own.limit(BLOCK_ROWS + 1).collect()
-        if len(rows) > BLOCK_ROWS:
-            todo += [(parts * 2, b), (parts * 2, b + parts)]
-        elif rows:
-            yield rows
-
-
 # ── approximate search ────────────────────────────────────────────────────────────────────────────────
 
 
-def train_cells(corpus: DataFrame, n_cells: int, seed: int = 7) -> np.ndarray:
-    """Unit centroids of the corpus directions, found by Spark's k-means."""
+def train_cells(corpus: DataFrame, n_cells: int, seed: int = 7, sample: int | None = None) -> np.ndarray:
+    """Unit centroids of the corpus directions, found by Spark's k-means over all or ``sample`` of its vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    features = _usable(corpus, "embedding").select(array_to_vector("embedding").alias("features"))
+    kept = _usable(corpus, "embedding")
+    if sample is not None:
+        kept = kept.orderBy(F.xxhash64("item_id"), "item_id").limit(sample)
+    features = kept.select(array_to_vector("embedding").alias("features"))
     means = KMeans(k=n_cells, seed=seed, maxIter=10, distanceMeasure="cosine")
     return _unit(np.array(means.fit(features).clusterCenters(), dtype=np.float64))
 
@@ -207,14 +203,19 @@ def _nearest_cells(df: DataFrame, key: str, vector: str, centroids: np.ndarray,
 def approximate_search(
     corpus: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int = 20, probes: int = 4
 ) -> DataFrame:
-    """Top k among the items of the cells nearest to each query, scored exactly.
-
-    Cells are cut into slices of about ``CELL_SLICE_ROWS`` items and blocks of about ``BLOCK_ROWS`` queries, so a
-    crowded or much asked cell is many groups. A group returns at most k rows per query.
-    """
+    """Top k among the items of the cells nearest to each query, scored exactly."""
     cells = _nearest_cells(corpus, "item_id", "embedding", centroids, 1)
     asked = _nearest_cells(queries, "query_id", "query_vector", centroids, probes)
-    id_type, query_type = corpus.schema["item_id"].dataType, queries.schema["query_id"].dataType
+    return rank_results(cell_search(cells, asked, k), k, "vector")
+
+
+def cell_search(cells: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, item_id, score) of the k best of each slice of a cell per query.
+
+    ``cells`` has (item_id, embedding, cell), ``asked`` a row (query_id, query_vector, cell) per probed cell. Cells are cut
+    into slices of about ``CELL_SLICE_ROWS`` items and blocks of about ``BLOCK_ROWS`` queries, so a crowded or much asked
+    cell is many groups.
+    """
 
     def parts(df: DataFrame, size: int, name: str) -> DataFrame:
         """One small row per cell."""
@@ -229,32 +230,16 @@ def approximate_search(
     cut = parts(cells, CELL_SLICE_ROWS, "slices").join(parts(asked, BLOCK_ROWS, "blocks"), "cell")
     stored = cells.join(cut, "cell").withColumn("slice", own("item_id", "slices")).withColumn("block", every("blocks"))
     probed = asked.join(cut, "cell").withColumn("block", own("query_id", "blocks")).withColumn("slice", every("slices"))
-    schema = _result_schema(query_type, id_type)
+    schema = _result_schema(asked.schema["query_id"].dataType, cells.schema["item_id"].dataType)
     arrow = to_arrow_schema(schema)
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return arrow.empty_table()
-        items, asked_rows = left.combine_chunks(), right.combine_chunks()
-        ids = np.asarray(items["item_id"].to_numpy())
-        owners = asked_rows["query_id"].to_numpy()
-        vectors = _unit(_matrix(items["embedding"].combine_chunks()))
-        wanted = _unit(_matrix(asked_rows["query_vector"].combine_chunks()))
-        top = _TopK(len(owners), k)
-        step = 256
-        for at in range(0, len(owners), step):
-            scores = np.round(wanted[at : at + step] @ vectors.T, SCORE_DIGITS) + 0.0
-            top.add(ids, scores, range(at, min(at + step, len(owners))))
-        return pa.Table.from_batches(list(top.batches(owners, arrow)), schema=arrow)
-
     group = ("cell", "slice", "block")
-    found = (
+    wanted = probed.select(*[F.col(c).alias(c) for c in (*group, "query_id", "query_vector")])
+    return (
         stored.select(*group, "item_id", "embedding")
         .groupBy(*group)
-        .cogroup(probed.select(*group, "query_id", "query_vector").groupBy(*group))
-        .applyInArrow(score, schema)
+        .cogroup(wanted.groupBy(*group))
+        .applyInArrow(lambda items, asks: _tile_top(items, asks, k, arrow), schema)
     )
-    return rank_results(found, k, "vector")
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -598,6 +598,11 @@ def oracle_sql() -> dict[str, str]:
 {_bm25("catalogue", "item_id", _ITEM_TEXT, "label_queries", 100, None, "keyword_hits")}, {_cosine(100, None)}, {_rrf(10)}"""
     kpi_up = "count(*) filter (feedback like '%up%')"
     kpi_down = "count(*) filter (feedback like '%down%')"
+    every_vector = f"""with corpus as (select vec_id, embedding::double[] as v from embeddings)
+        select query_id, item_id, score, rank from (
+            select *, row_number() over (partition by query_id order by score desc, item_id) as rank from (
+                select q.vec_id as query_id, c.vec_id as item_id, round(list_cosine_similarity(q.v, c.v), 6) as score
+                from corpus q cross join corpus c)) where rank <= 5"""
     return {
         "bronze_all_string": f"with {_BRONZE} select * from bronze",
         "grain_split_counts": f"""with {_BRONZE} select count(*) filter ({_HAS_AWARD}) as awards,
@@ -689,11 +694,8 @@ def oracle_sql() -> dict[str, str]:
             select term, df from terms""",
         "bm25_topk": f"with {_bm25('documents', 'doc_id', 'text', bench, 20, None, 'hits')} {ranked} hits",
         "bm25_topk_scoped": f"with {_bm25('documents', 'doc_id', 'text', bench, 20, doc_scope, 'hits')} {ranked} hits",
-        "cosine_all": f"""with corpus as (select vec_id, embedding::double[] as v from embeddings)
-            select query_id, item_id, score, rank from (
-                select *, row_number() over (partition by query_id order by score desc, item_id) as rank from (
-                    select q.vec_id as query_id, c.vec_id as item_id, round(list_cosine_similarity(q.v, c.v), 6) as score
-                    from corpus q cross join corpus c)) where rank <= 5""",
+        "cosine_all": every_vector,
+        "ann_stored": every_vector,
         "cosine_topk": f"with {_PARTS}, {_cosine(20, None)} {ranked} vector_hits",
         "cosine_topk_scoped": f"with {_AWARDS}, {_PARTS}, {_cosine(20, awards_scope)} {ranked} vector_hits",
         "ann_all_cells": f"with {_PARTS}, {_cosine(20, None)} {ranked} vector_hits",

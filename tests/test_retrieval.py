@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendloom.functions.stemming import stem
 from spendloom.functions.text import english_stop_words
-from spendloom.operators import block_postings, fusion, spend, vector_search
+from spendloom.operators import block_postings, fusion, spend, vector_cells, vector_search
 from spendloom.operators import text_index as ti
 from tests.conftest import rows
 
@@ -268,6 +269,77 @@ def ranked(spark, source, *entries):
     )
 
 
+def test_tiles_on_both_sides_equal_one_tile(spark, monkeypatch):
+    data, frame = vectors(spark, copies=60)
+    monkeypatch.setattr(vector_search, "BLOCK_ROWS", 70)
+    monkeypatch.setattr(vector_search, "CORPUS_ROWS", 90)
+    found = vector_search.vector_search(frame, self_queries(frame), 4)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["item_id"])
+    assert [got[i] for i in range(len(data))] == brute_cosine(data, data, 4)
+
+
+def garbled(path, cells):
+    """Overwrite the files of all cells but ``cells``, so that reading one fails."""
+    spoiled = 0
+    for folder in Path(f"{path}/vectors").glob("cell=*"):
+        if int(folder.name.split("=")[1]) not in cells:
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"no parquet")
+                (folder / f".{file.name}.crc").unlink(missing_ok=True)
+                spoiled += 1
+    return spoiled
+
+
+def test_stored_cells_are_exact_when_all_are_probed_and_grow(spark, tmp_path):
+    data, frame = vectors(spark)
+    path = str(tmp_path)
+    vector_cells.write_cells(frame.where("item_id < 300"), path, 8)
+    more = frame.where("item_id >= 250")
+    for _ in range(2):
+        vector_cells.add_vectors(more.unionByName(more), path)
+    assert spark.read.parquet(f"{path}/vectors").count() == 3 * len(data)
+    queries = self_queries(frame)
+    every = vector_cells.search_cells(spark, path, queries, 6, probes=8).select("query_id", "item_id", "score", "rank")
+    exact = vector_search.vector_search(frame, queries, 6).select("query_id", "item_id", "score", "rank")
+    assert rows(every, "query_id", "rank") == rows(exact, "query_id", "rank")
+    scope = frame.where("item_id % 3 = 0")
+    scoped = vector_cells.search_cells(spark, path, queries, 6, probes=8, scope=scope)
+    assert rows(scoped, "query_id", "rank") == rows(vector_search.vector_search(frame, queries, 6, scope), "query_id", "rank")
+
+
+def test_only_probed_cells_are_read(spark, tmp_path):
+    data, frame = vectors(spark)
+    path = str(tmp_path)
+    vector_cells.write_cells(frame, path, 12)
+    centroids = vector_cells.read_centroids(spark, path).unit
+    probed = set(np.argsort(-(data[5] @ centroids.T))[:3].tolist())
+    query = self_queries(frame.where("item_id = 5"))
+    before = rows(vector_cells.search_cells(spark, path, query, 5, probes=3), "rank")
+    assert garbled(path, probed) >= 9
+    assert rows(vector_cells.search_cells(spark, path, query, 5, probes=3), "rank") == before
+    with pytest.raises(Exception, match="parquet|Parquet"):
+        vector_cells.search_cells(spark, path, query, 5, probes=12).collect()
+
+
+def test_recall_at_a_quarter_of_the_cells(spark, tmp_path, sf_dir):
+    """Every vector of the table is a query."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("item_id"), "embedding")
+    vector_cells.write_cells(table, str(tmp_path), 64)
+    near = vector_cells.search_cells(spark, str(tmp_path), self_queries(table), 10, probes=16)
+    found = vector_search.recall(near, vector_search.vector_search(table, self_queries(table), 10))
+    assert found.agg(F.avg("recall"), F.count("*")).first()[0] >= 0.9
+
+
+def test_vectors_without_an_item_take_no_rank(spark):
+    items = spark.createDataFrame([("a", "bond paper"), ("c", "paper clips")], "item_id string, text string")
+    both = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [1.0, 0.0]), ("c", [0.9, 0.1])], "item_id string, embedding array<float>")
+    queries = spark.createDataFrame([(1, "zebra", [1.0, 0.0])], "query_id int, query_text string, query_vector array<float>")
+    result = fusion.hybrid_search(ti.build_index(items, ["text"]), both, queries, awards(spark), 1, catalogue=items)
+    assert [r["item_id"] for r in result.items.collect()] == ["c"]
+
+
 def test_fusion_order_ties_and_metadata(spark):
     vector = ranked(spark, "vector", (1, "x", 0.9, 1), (1, "y", 0.8, 2), (2, "v", 0.7, 1))
     keyword = ranked(spark, "keyword", (1, "z", 5.0, 1), (1, "y", 4.0, 2), (3, "w", 3.0, 1))
