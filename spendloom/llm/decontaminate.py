@@ -86,6 +86,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` less the documents that hold a benchmark passage; rows with other or null ids stay as they are."""
-    leaked = written(leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked")
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["leaked_id"]), "left_anti")
+    """``docs`` less the rows whose text holds a benchmark passage; ids, null or repeated, decide nothing.
+
+    Copies of a text are searched once. Null texts stay; an empty benchmark removes nothing.
+    """
+    name = F.md5(F.col("text").cast("binary"))
+    texts = docs.where("text is not null").select(name.alias("doc_id"), "text")
+    leaked = written(leaks(texts, benchmark).select(F.col("doc_id").alias("leaked_text")).distinct(), "leaked")
+    return docs.join(leaked, F.md5(docs["text"].cast("binary")) == leaked["leaked_text"], "left_anti")

@@ -28,7 +28,7 @@ from spendloom.llm.textblocks import map_batches, mix
 MARK = "▁"
 SHORT = 48
 REMEMBERED = 150_000
-_BATCH_CHARS = 1 << 20
+_BATCH_CHARS = 1 << 18
 _PAIR_SLOTS = 1 << 21
 _RUN = re.compile(r"(?<=[^ ]) ")
 

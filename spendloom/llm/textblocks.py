@@ -7,6 +7,8 @@ characters space and ``\\t\\n\\v\\f\\r``. Word hashes are 64-bit polynomials of
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -133,5 +135,16 @@ def map_batches(work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], rows
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield from work(batch.slice(at, rows))
+            del batch
+        give_back()
 
     return run
+
+
+def give_back() -> None:
+    """Give freed memory back to the system at the end of a task: a worker lives on and waits for later stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)

@@ -103,3 +103,17 @@ def test_odd_rows(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     # Null and empty texts are near copies of each other; the least id stays.
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("1", 0), ("3", 3), ("None", 2)]
+
+
+def test_rows_of_one_id_stay_or_go_each_for_itself(spark, tmp_path):
+    leak = "what is the tallest mountain of the world above the sea and who climbed it first"
+    clean = ["quiet rivers carry sand to the wide delta every spring", "a lamp burns in the window of the old mill tonight"]
+    rows = [(1, leak, "en"), (1, clean[0], "en"), (None, leak, "en"), (None, clean[1], "en"), (2, clean[0], "de"), (2, clean[0], "aa"), (3, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.without_leaks(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([r for r in rows if r[1] != leak], key=str)
+    got = corpus_pipeline.one_of_near_copies(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, clean[0], "en"), (1, leak, "en"), (None, clean[1], "en"), (3, None, "x")], key=str)
+    again = docs.where("doc_id = 2")
+    assert [tuple(r) for r in corpus_pipeline.one_of_near_copies(spark, again, str(tmp_path)).collect()] == [(2, clean[0], "aa")]
