@@ -9,15 +9,16 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spendloom.functions.text import item_payload
 from spendloom.functions.values import PHP_PER_USD, embed_cost, token_estimate
 from spendloom.schema import ITEM_TEXT
-from spendloom.session import new_folder
-from spendloom.sources.tables import append_new, read_or_empty, refresh_table
+from spendloom.session import new_folder, stored
+from spendloom.sources.keyed import KeyedSink
+from spendloom.sources.tables import refresh_table
 
 DIMENSIONS = 768
 REQUEST_SIZE = 100
@@ -108,20 +109,27 @@ def embed_pending(
 ) -> None:
     """Embed what is missing and append it; vectors of another width are rebuilt from scratch.
 
-    With ``chunk``, items are committed in parts of about so many, by the hash of their id; what a part wrote stays
-    if a later one fails, and the next run embeds only the rest. Without it all are committed together.
+    The table is a keyed sink. With ``chunk``, the pending items are dealt once into parts of about so many, by the hash
+    of their id, and committed part by part; what a part wrote stays if a later one fails, and the next run embeds only
+    the rest. Without it all are committed together.
     """
-    spark = items.sparkSession
-    stored = read_or_empty(spark, path, EMBEDDING_SCHEMA)
-    if not wrong_width(stored, dimensions).isEmpty():
-        refresh_table(embed(next_chunk(items, limit) if limit else items, make_embedder), path)
-        return
-    todo = pending_items(items, stored)
-    todo = next_chunk(todo, limit) if limit else todo
+    sink = KeyedSink(items.sparkSession, path, "item_id")
+    held = sink.read()
+    if held is not None and not wrong_width(held, dimensions).isEmpty():
+        sink.clear()
+    todo = sink.missing(items)
+    if limit:
+        todo = stored(next_chunk(todo, limit), "next-items")
     parts = -(-todo.count() // chunk) if chunk else 1
     for part in range(parts):
         some = todo.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else todo
-        append_new(embed(some, make_embedder), path, "item_id")
+        sink.append_missing(embed(some, make_embedder))
+
+
+def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """Stored vectors (item_id, embedding); none before the first run."""
+    held = KeyedSink(spark, path, "item_id").read()
+    return spark.createDataFrame([], EMBEDDING_SCHEMA) if held is None else held
 
 
 def numbered(items: DataFrame) -> DataFrame:

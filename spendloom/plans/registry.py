@@ -23,6 +23,7 @@ from spendloom.plans.medallion import Lake
 from spendloom.schema import CATALOGUE_COLUMNS, ITEM_TEXT
 from spendloom.session import new_folder
 from spendloom.sources import evalset
+from spendloom.sources.keyed import KeyedSink
 from spendloom.sources.tables import refresh_table
 from spendloom.streaming import jobs
 
@@ -358,7 +359,7 @@ def _embed_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, items = f"{new_folder(spark, 'rebuild')}/embeddings", tb.catalogue(spark, sf_dir)
     for width in (EMBED_WIDTH // 2, EMBED_WIDTH):
         emb.embed_pending(items, path, emb.hashing_embedder(width), width)
-    return _weights(spark.read.parquet(path))
+    return _weights(emb.read_embeddings(spark, path))
 
 
 def _ground_truth_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,7 +383,7 @@ def _embed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.run_to_end(
         jobs.embed_new_items(stream, f"{root}/embeddings", f"{root}/checkpoint", make, EMBED_WIDTH)
     )
-    return _weights(spark.read.parquet(f"{root}/embeddings"))
+    return _weights(emb.read_embeddings(spark, f"{root}/embeddings"))
 
 
 def _catalogue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,7 +396,7 @@ def _catalogue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             stream, f"{root}/items", f"{root}/checkpoint", lambda batch: tb.awards(spark, sf_dir, batch)
         )
     )
-    return spark.read.parquet(f"{root}/items")
+    return KeyedSink(spark, f"{root}/items", "item_id").read()
 
 
 def _telemetry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

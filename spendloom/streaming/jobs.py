@@ -1,7 +1,7 @@
 """Incremental jobs: catalogue growth, embedding of new items, telemetry figures.
 
-Every sink write is safe to replay. The catalogue and the embeddings are appended by anti join against what
-is stored; a telemetry batch overwrites its own folder. State and progress live in the checkpoint folder.
+Every sink write is safe to replay. The catalogue and the embeddings are keyed sinks (``sources.keyed``), whose Bloom
+filters tell which stored rows a batch has to be held against; a telemetry batch overwrites its own folder. State and progress live in the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -16,9 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spendloom.functions.values import normal_feedback
 from spendloom.operators.catalogue import unique_items
-from spendloom.operators.embedding import DIMENSIONS, EMBEDDING_SCHEMA, Embedder, embed, pending_items, wrong_width
-from spendloom.sources.tables import append_new, one_per_key, read_or_empty
-
+from spendloom.operators.embedding import DIMENSIONS, Embedder, embed, wrong_width
+from spendloom.sources.keyed import KeyedSink
 
 # Calls of a day may arrive up to a week after the newest one.
 LATENESS = "7 days"
@@ -42,10 +41,14 @@ def grow_catalogue(
     checkpoint: str,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Append the new items of each batch of awards. ``prepare`` turns a batch into awards first."""
+    """Append the new items of each batch of awards. ``prepare`` turns a batch into awards first.
+
+    What was stored is read with ``KeyedSink.read``.
+    """
+    sink = KeyedSink(awards.sparkSession, catalogue_path, "item_id")
 
     def merge(batch: DataFrame, _: int) -> None:
-        append_new(unique_items(prepare(batch) if prepare else batch), catalogue_path, "item_id")
+        sink.append(unique_items(prepare(batch) if prepare else batch))
 
     return _start(awards.writeStream.foreachBatch(merge), checkpoint)
 
@@ -60,15 +63,15 @@ def embed_new_items(
     """Embed the items of each batch that have no stored vector yet.
 
     A stream sees new items only, so it can't rebuild a table of vectors of another width: it refuses, before it
-    writes, and ``embed_pending`` rebuilds.
+    writes, and ``embed_pending`` rebuilds. Each append has vectors of one width, so one stored row tells it.
     """
+    sink = KeyedSink(items.sparkSession, embeddings_path, "item_id")
 
     def merge(batch: DataFrame, _: int) -> None:
-        stored = read_or_empty(batch.sparkSession, embeddings_path, EMBEDDING_SCHEMA)
-        if not wrong_width(stored, dimensions).isEmpty():
+        held = sink.read()
+        if held is not None and not wrong_width(held.limit(1), dimensions).isEmpty():
             raise ValueError(f"stored vectors are not {dimensions} wide; rebuild them with embed_pending")
-        todo = one_per_key(pending_items(batch, stored), "item_id")
-        embed(todo, make_embedder).write.mode("append").parquet(embeddings_path)
+        sink.append_missing(embed(sink.missing(batch), make_embedder))
 
     return _start(items.writeStream.foreachBatch(merge), checkpoint)
 

@@ -7,6 +7,8 @@ from spendloom.operators import embedding as emb
 from spendloom.operators import telemetry
 from spendloom.operators.catalogue import unique_items
 from spendloom.plans import testbed as tb
+from spendloom.sources import keyed
+from spendloom.sources.keyed import KeyedSink
 from spendloom.streaming import jobs
 from tests.conftest import rows
 
@@ -99,7 +101,7 @@ def test_catalogue_stream_equals_batch_and_replays(spark, sf_dir, tmp_path):
     stream = lambda: jobs.read_files(spark, str(tmp_path / "awards"), awards.schema, files_per_batch=1)
     for checkpoint in ("c1", "c1", "c2"):
         jobs.run_to_end(jobs.grow_catalogue(stream(), str(tmp_path / "items"), str(tmp_path / checkpoint)))
-    stored = spark.read.parquet(str(tmp_path / "items"))
+    stored = KeyedSink(spark, str(tmp_path / "items"), "item_id").read()
     assert rows(stored, "item_id") == rows(unique_items(awards), "item_id")
 
 
@@ -109,7 +111,7 @@ def test_embed_stream_equals_batch_and_replays(spark, tmp_path):
     for checkpoint in ("c1", "c1", "c2"):
         stream = jobs.read_files(spark, source, items(spark).schema, files_per_batch=2)
         jobs.run_to_end(jobs.embed_new_items(stream, sink, str(tmp_path / checkpoint), make, 16))
-    assert rows(spark.read.parquet(sink), "item_id") == rows(emb.embed(items(spark), make), "item_id")
+    assert rows(emb.read_embeddings(spark, sink), "item_id") == rows(emb.embed(items(spark), make), "item_id")
 
 
 def test_telemetry_stream_equals_batch_over_many_batches(spark, sf_dir, tmp_path):
@@ -168,3 +170,47 @@ def test_a_new_checkpoint_starts_the_figures_anew(spark, tmp_path):
     stream = jobs.read_files(spark, source, telemetry.LOG_SCHEMA)
     jobs.run_to_end(jobs.stream_telemetry(stream, path, str(tmp_path / "c2")))
     assert [r["queries"] for r in jobs.read_telemetry(spark, path).collect()] == [50]
+
+
+def keyed_rows(spark, low, high):
+    return spark.range(low, high).select(F.concat(F.lit("k"), "id").alias("k"), (F.col("id") * 2).alias("v"))
+
+
+def test_keyed_sink_stores_each_key_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "MERGE_AFTER", 3)
+    sink = KeyedSink(spark, str(tmp_path / "sink"), "k", buckets=8, words=64)
+    assert sink.read() is None
+    nothing = spark.createDataFrame([(None, 1)], "k string, v long")
+    for low, high in ((0, 50), (40, 60), (0, 60), (60, 200), (190, 210), (0, 0), (100, 300), (250, 320)):
+        sink.append(keyed_rows(spark, low, high).unionByName(keyed_rows(spark, low, high)).unionByName(nothing))
+    assert sorted(map(tuple, sink.read().collect())) == sorted((f"k{k}", 2 * k) for k in range(320))
+    # Filters are merged, so their number stays under the bound.
+    bases, more = sink._filter_folders()
+    assert len(bases) == 1 and len(more) < 3
+
+
+def test_new_keys_are_appended_without_reading_rows(spark, tmp_path):
+    path = tmp_path / "sink"
+    sink = KeyedSink(spark, str(path), "k")
+    for k in range(3):
+        sink.append(keyed_rows(spark, 1000 * k, 1000 * k + 300))
+    for file in path.glob("key_bucket=*/*.parquet"):
+        file.write_bytes(b"no parquet")
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    assert sink.missing(keyed_rows(spark, 5000, 5200)).count() == 200
+    with pytest.raises(Exception, match="parquet|Parquet"):
+        sink.missing(keyed_rows(spark, 0, 5)).count()
+
+
+def test_append_that_failed_after_its_filters_is_replayed(spark, tmp_path):
+    path = tmp_path / "sink"
+    sink = KeyedSink(spark, str(path), "k", buckets=4)
+    sink.append(keyed_rows(spark, 0, 40))
+    kept = sorted(path.glob("key_bucket=*"))[0].name
+    for folder in path.glob("key_bucket=*"):
+        if folder.name != kept:
+            for file in folder.iterdir():
+                file.unlink()
+    assert 0 < sink.read().count() < 40
+    sink.append(keyed_rows(spark, 0, 40))
+    assert sorted(r["k"] for r in sink.read().collect()) == sorted(f"k{k}" for k in range(40))
