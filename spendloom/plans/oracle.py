@@ -598,6 +598,12 @@ def oracle_sql() -> dict[str, str]:
 {_bm25("catalogue", "item_id", _ITEM_TEXT, "label_queries", 100, None, "keyword_hits")}, {_cosine(100, None)}, {_rrf(10)}"""
     kpi_up = "count(*) filter (feedback like '%up%')"
     kpi_down = "count(*) filter (feedback like '%down%')"
+    latest_feedback = f"""with {_LOG}, given as (
+        select user_id, event_type, row_number() over (partition by user_id order by ts desc,
+            case event_type when 'purchase' then 1 else 0 end desc) as rn
+        from events where event_type in ('purchase', 'error'))
+        select id, query, case event_type when 'purchase' then 'thumbs_up' when 'error' then 'thumbs_down' end
+        as feedback from log left join given on id = user_id and rn = 1"""
     every_vector = f"""with corpus as (select vec_id, embedding::double[] as v from embeddings)
         select query_id, item_id, score, rank from (
             select *, row_number() over (partition by query_id order by score desc, item_id) as rank from (
@@ -752,12 +758,8 @@ def oracle_sql() -> dict[str, str]:
         "telemetry_feedback": f"""with {_LOG} select 'helpful' as status, {kpi_up} as queries from log
             union all select 'poor', {kpi_down} from log
             union all select 'unrated', count(*) - count(feedback) from log""",
-        "telemetry_feedback_latest": f"""with {_LOG}, given as (
-            select user_id, event_type, row_number() over (partition by user_id order by ts desc,
-                case event_type when 'purchase' then 1 else 0 end desc) as rn
-            from events where event_type in ('purchase', 'error'))
-            select id, query, case event_type when 'purchase' then 'thumbs_up' when 'error' then 'thumbs_down' end
-            as feedback from log left join given on id = user_id and rn = 1""",
+        "telemetry_feedback_latest": latest_feedback,
+        "ratings_stream": latest_feedback,
         "telemetry_recent": f"""with {_LOG} select id, {_TIME}, query, round(latency_ms, 0) as latency_ms,
             prompt_tokens, total_tokens, cost_usd, coalesce(feedback, 'None') as feedback from log
             order by id desc limit 150""",

@@ -25,7 +25,7 @@ from spendloom.session import new_folder
 from spendloom.sources import evalset
 from spendloom.sources.keyed import KeyedSink
 from spendloom.sources.tables import refresh_table
-from spendloom.streaming import jobs
+from spendloom.streaming import jobs, ratings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -295,16 +295,34 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.query_log(tb.table(spark, sf_dir, "events"))
 
 
-def _feedback_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _given(events: DataFrame) -> DataFrame:
     """Ratings arrive as events of users; a user rates the query that carries the user's number."""
-    events = tb.table(spark, sf_dir, "events")
-    given = events.filter(F.col("event_type").isin("purchase", "error")).select(
+    return events.filter(F.col("event_type").isin("purchase", "error")).select(
         F.col("user_id").alias("log_id"),
         F.when(F.col("event_type") == "purchase", "Thumbs UP").otherwise("no").alias("feedback"),
         F.col("ts").alias("given_at"),
     )
-    unrated = _log(spark, sf_dir).withColumn("feedback", F.lit(None).cast("string"))
-    return telemetry.with_feedback(unrated, given).select("id", "query", "feedback")
+
+
+def _unrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir).withColumn("feedback", F.lit(None).cast("string"))
+
+
+def _feedback_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _given(tb.table(spark, sf_dir, "events"))
+    return telemetry.with_feedback(_unrated(spark, sf_dir), given).select("id", "query", "feedback")
+
+
+def _ratings_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ratings as a stream of several batches, in no order of time, with a restart before the last one."""
+    root, events = new_folder(spark, "ratings"), tb.table(spark, sf_dir, "events")
+    for part in (F.col("event_id") % 4 > 0, F.col("event_id") % 4 == 0):
+        events.filter(part).repartition(2).write.mode("append").parquet(f"{root}/events")
+        given = _given(jobs.read_files(spark, f"{root}/events", events.schema, files_per_batch=1))
+        # the files hold ratings of all times, so none is late
+        jobs.run_to_end(ratings.stream_ratings(given, f"{root}/latest", f"{root}/checkpoint", "20000 days", 20_000))
+    rated = ratings.with_ratings(_unrated(spark, sf_dir), ratings.read_ratings(spark, f"{root}/latest"))
+    return rated.select("id", "query", "feedback")
 
 
 def _append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -567,4 +585,5 @@ def queries() -> dict[str, Query]:
         "embed_stream": _embed_stream,
         "catalog_stream": _catalogue_stream,
         "telemetry_stream": _telemetry_stream,
+        "ratings_stream": _ratings_stream,
     }

@@ -17,7 +17,9 @@ from pyspark.sql.streaming import StreamingQuery
 from spendloom.functions.values import normal_feedback
 from spendloom.operators.catalogue import unique_items
 from spendloom.operators.embedding import DIMENSIONS, Embedder, embed, wrong_width
+from spendloom.session import stored
 from spendloom.sources.keyed import KeyedSink
+from spendloom.sources.tables import _folder
 
 # Calls of a day may arrive up to a week after the newest one.
 LATENESS = "7 days"
@@ -95,10 +97,12 @@ def telemetry_windows(log: DataFrame, width: str = "1 day", lateness: str | None
 
 
 def stream_telemetry(
-    log: DataFrame, path: str, checkpoint: str, width: str = "1 day", lateness: str | None = LATENESS
+    log: DataFrame, path: str, checkpoint: str, width: str = "1 day", lateness: str | None = LATENESS, compact_after: int = 16
 ) -> StreamingQuery:
     """Write the windows each batch touched; a rerun of a batch replaces its own folder.
 
+    After every ``compact_after`` batches the folders so far become one with a row per window.
+
     Epochs belong to a checkpoint, which counts them from 0, so each checkpoint writes below a folder of its own.
     Windows that end ``lateness`` before the newest call leave the state; later calls for them are dropped.
     """
@@ -107,11 +111,37 @@ def stream_telemetry(
     def save(batch: DataFrame, epoch: int) -> None:
         stamped = batch.withColumn("written_at", F.current_timestamp())
         stamped.write.mode("overwrite").parquet(f"{path}/run={run}/epoch={epoch}")
+        if epoch % compact_after == compact_after - 1:
+            compact_epochs(batch.sparkSession, f"{path}/run={run}", epoch, _last_written)
 
     windows = telemetry_windows(log, width, lateness)
     return _start(windows.writeStream.outputMode("update").foreachBatch(save), checkpoint)
 
 
+def compact_epochs(spark: SparkSession, path: str, last: int, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Put one merged folder in the place of the epochs up to ``last``; of a replay the same rows come out.
+
+    The merged rows are written aside and then as epoch ``last``, before older epochs go; ``merge`` must give the same
+    for rows that it sees twice, which is what a reader meets in between.
+    """
+    store, folder = _folder(spark, path)
+    old = []
+    for status in store.listStatus(folder):
+        name, _, number = status.getPath().getName().partition("=")
+        if name == "epoch" and number.isdigit() and int(number) < last:
+            old.append(status.getPath())
+    merged = stored(merge(spark.read.option("basePath", path).parquet(path).filter(F.col("epoch") <= last)), "compacted")
+    merged.write.mode("overwrite").parquet(f"{path}/epoch={last}")
+    for epoch in old:
+        store.delete(epoch, True)
+
+
+def _last_written(figures: DataFrame) -> DataFrame:
+    columns = [c for c in figures.columns if c not in ("window_start", "epoch")]
+    latest = figures.groupBy("window_start").agg(F.max_by(F.struct(*columns), F.struct("written_at", "epoch")).alias("v"))
+    return latest.select("window_start", "v.*")
+
+
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     """The figures of every window as they were last written."""
     columns = ("queries", "latency_sum", "thumbs_up", "thumbs_down")

@@ -1,7 +1,9 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spendloom.operators import embedding as emb
 from spendloom.operators import telemetry
@@ -9,7 +11,7 @@ from spendloom.operators.catalogue import unique_items
 from spendloom.plans import testbed as tb
 from spendloom.sources import keyed
 from spendloom.sources.keyed import KeyedSink
-from spendloom.streaming import jobs
+from spendloom.streaming import jobs, ratings
 from tests.conftest import rows
 
 
@@ -214,3 +216,34 @@ def test_append_that_failed_after_its_filters_is_replayed(spark, tmp_path):
     assert 0 < sink.read().count() < 40
     sink.append(keyed_rows(spark, 0, 40))
     assert sorted(r["k"] for r in sink.read().collect()) == sorted(f"k{k}" for k in range(40))
+
+
+def given_file(spark, path, *pairs):
+    """A file of ratings (log id, rating, day)."""
+    data = [(k, f, dt.datetime(2025, 1, 1) + dt.timedelta(days=d)) for k, f, d in pairs]
+    spark.createDataFrame(data, "log_id long, feedback string, given_at timestamp").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_ratings_as_state(spark, tmp_path):
+    source, path, checkpoint = (str(tmp_path / n) for n in ("given", "latest", "c"))
+
+    def run():
+        schema = "log_id long, feedback string, given_at timestamp"
+        stream = jobs.read_files(spark, source, T._parse_datatype_string(schema), files_per_batch=1)
+        jobs.run_to_end(ratings.stream_ratings(stream, path, checkpoint, "10 days", 20, compact_after=3))
+        return {r["log_id"]: (r["verdict"], r["given_at"].day) for r in ratings.read_ratings(spark, path).collect()}
+
+    given_file(spark, source, (1, "up", 3), (2, "no", 3), (1, "no", 1), (None, "up", 1))
+    given_file(spark, source, (1, "no", 2), (2, "up", 4), (3, "up", 4), (3, "no", 4))
+    # Of equal times the greater verdict wins; an earlier rating that comes later changes nothing.
+    assert run() == {1: ("thumbs_up", 4), 2: ("thumbs_up", 5), 3: ("thumbs_up", 5)}
+    # The state outlives a restart.
+    given_file(spark, source, (1, "no", 2), (2, "no", 6))
+    assert run() == {1: ("thumbs_up", 4), 2: ("thumbs_down", 7), 3: ("thumbs_up", 5)}
+    # A newest rating makes those ten days older late, and lets older states go; what was written stays.
+    given_file(spark, source, (4, "up", 25))
+    run()
+    given_file(spark, source, (3, "no", 10), (4, "no", 26))
+    assert run() == {1: ("thumbs_up", 4), 2: ("thumbs_down", 7), 3: ("thumbs_up", 5), 4: ("thumbs_down", 27)}
+    # Every third batch leaves one folder.
+    assert len(list(Path(path).glob("run=*/epoch=*"))) <= 3
