@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spendloom.functions.text import blank_if_missing
 from spendloom.operators.fusion import reciprocal_rank_fusion
+from spendloom.operators.substring_match import first_matches
 
 # Fixed values: (question, search term, category) of the hand-written benchmark questions.
 BENCHMARKS = (
@@ -80,30 +81,21 @@ def templated_questions(catalogue: DataFrame, embedded: DataFrame, sample_size:
 
 
 def benchmark_questions(
-    catalogue: DataFrame, benchmarks: Sequence[tuple[str, str, str]] = BENCHMARKS
+    catalogue: DataFrame, benchmarks: Sequence[tuple[str, str, str]] | DataFrame = BENCHMARKS
 ) -> DataFrame:
     """Hand-written questions, each with the first item whose name or title contains its search term.
 
-    The list is short and literal, so it is matched as an expression inside the catalogue scan; no join.
+    ``benchmarks`` has (question, term, category) of any number of questions.
     """
-    listed = F.array(
-        *[
-            F.struct(F.lit(q).alias("question"), F.lit(t).alias("term"), F.lit(c).alias("category"))
-            for q, t, c in benchmarks
-        ]
-    )
-
-    def found(b: Column) -> Column:
-        needle = F.lower(b["term"])
-        return F.coalesce(F.contains(F.lower(F.col("item_name")), needle), F.lit(False)) | F.coalesce(
-            F.contains(F.lower(F.col("notice_title")), needle), F.lit(False)
-        )
-
-    matched = catalogue.select("item_id", "item_name", F.inline(F.filter(listed, found)))
-    return matched.groupBy("question", "category").agg(
-        F.min("item_id").alias("target_item_id"), F.min_by("item_name", "item_id").alias("target_item_name")
-    ).select(
-        "question", "target_item_id", "target_item_name", "category", F.lit("hand-written").alias("source")
+    if not isinstance(benchmarks, DataFrame):
+        benchmarks = catalogue.sparkSession.createDataFrame(list(benchmarks), "question string, term string, category string")
+    found = first_matches(catalogue, benchmarks, ("item_name", "notice_title"))
+    # The first of the items wins where a question has several terms.
+    asked = benchmarks.select("question", "category", F.lower("term").alias("term")).join(found, "term")
+    best = asked.groupBy("question", "category").agg(F.min("item_id").alias("item_id"))
+    return best.join(catalogue.select("item_id", "item_name"), "item_id").select(
+        "question", F.col("item_id").alias("target_item_id"), F.col("item_name").alias("target_item_name"), "category",
+        F.lit("hand-written").alias("source"),
     )
 
 
@@ -111,7 +103,7 @@ def build_ground_truth(
     catalogue: DataFrame,
     embedded: DataFrame,
     sample_size: int = 300,
-    benchmarks: Sequence[tuple[str, str, str]] = BENCHMARKS,
+    benchmarks: Sequence[tuple[str, str, str]] | DataFrame = BENCHMARKS,
 ) -> DataFrame:
     """Templated plus hand-written questions."""
     return templated_questions(catalogue, embedded, sample_size).unionByName(

@@ -700,6 +700,10 @@ def oracle_sql() -> dict[str, str]:
             select term, df from terms""",
         "bm25_topk": f"with {_bm25('documents', 'doc_id', 'text', bench, 20, None, 'hits')} {ranked} hits",
         "bm25_topk_scoped": f"with {_bm25('documents', 'doc_id', 'text', bench, 20, doc_scope, 'hits')} {ranked} hits",
+        "name_matches": f"""with {_PARTS}, asked as (select distinct lower(p_name) as term from part)
+            select term, min(item_id) as item_id, count(*) as matches from asked join catalogue on
+                contains(lower(notice_title), term) or contains(lower(item_name), term) or contains(lower(item_desc), term)
+            group by term""",
         "cosine_all": every_vector,
         "ann_stored": every_vector,
         "cosine_topk": f"with {_PARTS}, {_cosine(20, None)} {ranked} vector_hits",

@@ -17,6 +17,7 @@ from spendloom.operators import evaluation as ev
 from spendloom.operators import fusion, quality, silver, spend, telemetry, vector_cells, vector_search
 from spendloom.operators import text_index as ti
 from spendloom.operators.audit import audit_statements, run_sql
+from spendloom.operators.substring_match import first_matches
 from spendloom.plans import questions as q
 from spendloom.plans import testbed as tb
 from spendloom.plans.medallion import Lake
@@ -248,6 +249,12 @@ def _ann_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.approximate_search(corpus, tb.label_queries(spark, sf_dir), centroids, k=20, probes=cells)
 
 
+def _name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name of a part as a search term over the whole catalogue."""
+    terms = tb.table(spark, sf_dir, "part").select(F.col("p_name").alias("term"))
+    return first_matches(tb.catalogue(spark, sf_dir), terms, ITEM_TEXT)
+
+
 def _ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.build_ground_truth(
         tb.catalogue(spark, sf_dir), tb.item_embeddings(spark, sf_dir), benchmarks=ev.BENCHMARKS + TERMS
@@ -551,6 +558,7 @@ def queries() -> dict[str, Query]:
         "ann_all_cells": lambda s, d: _ranked(_ann_all_cells(s, d)),
         # evaluation
         "ground_truth_queries": _ground_truth,
+        "name_matches": _name_matches,
         "enriched_sample": _enriched,
         "retrieval_metrics": _retrieval_metrics,
         "ground_truth_json": _ground_truth_json,

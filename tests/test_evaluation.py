@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from spendloom.operators import evaluation as ev
+from spendloom.operators import substring_match
 from tests.conftest import rows
 
 ITEMS = "item_id string, notice_title string, item_name string, item_desc string, unspsc_code string, unspsc_desc string"
@@ -96,3 +99,23 @@ def test_answer_scorecard(spark):
 def test_mean_latency(spark):
     timings = spark.createDataFrame([("keyword", 1, 10.0), ("keyword", 2, 30.0)], "strategy string, query_id int, latency_ms double")
     assert rows(ev.mean_latency(timings)) == [("keyword", 20.0)]
+
+
+def test_many_terms_equal_a_brute_force_join(spark, monkeypatch):
+    monkeypatch.setattr(substring_match, "LOT_TERMS", 3000)
+    monkeypatch.setattr(substring_match, "BLOCK_ITEMS", 150)
+    draw = random.Random(3)
+    letters = "abAB éÉ."
+    texts = [(f"i{k:03}", None if k % 9 == 0 else "".join(draw.choice(letters) for _ in range(draw.randint(0, 30))), draw.choice([None, "", "Ab é"])) for k in range(400)]
+    texts += [(None, "ab", "ab"), ("i000", "ab", None)]
+    terms = list({"".join(draw.choice(letters) for _ in range(draw.randint(1, 9))) for _ in range(24_000)})
+    assert len(terms) >= 10_000
+    terms += ["", None, "AB", "ab"]
+    items = spark.createDataFrame(texts, "item_id string, a string, b string")
+    found = substring_match.first_matches(items, spark.createDataFrame([(t,) for t in terms], "term string"), ["a", "b"])
+    expected = {}
+    for term in {t.lower() for t in terms if t is not None}:
+        hits = [i for i, a, b in texts if i is not None and any(t is not None and term in t.lower() for t in (a, b))]
+        if hits:
+            expected[term] = (min(hits), len(hits))
+    assert {r["term"]: (r["item_id"], r["matches"]) for r in found.collect()} == expected
