@@ -28,8 +28,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
 class Shipped:
     """A broadcast model with its own code, so that workers need no copy of this package.
 
-    The bytes are loaded once per worker; the loaded model hangs on the broadcast, which the worker keeps for its
-    tasks and drops with the first task that doesn't use it.
+    The broadcast value is a box with the pickled bytes, in whose place a worker puts the model on first use; it keeps
+    that for its tasks and drops it with the first task that doesn't use it.
     """
 
     def __init__(self, broadcast) -> None:
@@ -37,22 +37,12 @@ class Shipped:
 
     @property
     def value(self):
-        if not hasattr(self.broadcast, "model"):
-            self.broadcast.model = pickle.loads(self.broadcast.value)
-        return self.broadcast.model
-
-
-_sent: list = []
+        box = self.broadcast.value
+        if isinstance(box[0], bytes):
+            box[0] = pickle.loads(box[0])
+        return box[0]
 
 
 def shipped(spark: SparkSession, value) -> Shipped:
     """Broadcast of a model whose size its caller bounds; a worker keeps one copy for all its tasks."""
-    broadcast = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    _sent.append(broadcast)
-    return Shipped(broadcast)
-
-
-def recall() -> None:
-    """Destroy all models sent so far; call it when every frame that uses them is written."""
-    while _sent:
-        _sent.pop().destroy()
+    return Shipped(spark.sparkContext.broadcast([cloudpickle.dumps(value)]))

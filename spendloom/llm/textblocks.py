@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -50,7 +50,7 @@ class Polynomial:
 
     def reserve(self, n: int) -> None:
         if len(self.up) <= n:
-            self.up, self.down = powers(2 * n + 2), powers(2 * n + 2, _INVERSE)
+            self.up, self.down = powers(n + n // 4 + 2), powers(n + n // 4 + 2, _INVERSE)
 
     def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Mixed hash of ``values[s:e]`` for each span; equal spans have equal hashes wherever they stand."""

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spendloom.llm import ann_blocks, decontaminate, html_text, substring_dedup
 from spendloom.llm.queries import op1_html_text, op6_substring_dedup, oracle_sql, queries
@@ -139,6 +140,9 @@ def test_repeats_with_changes_and_odd_rows(spark):
     assert left.columns == docs.columns and set(texts) == {1, 2, 3, 4, 5, 8, 10, 11, None}
     assert texts[2] == [" ".join(rows[1][1][:80]) + " "] and len(texts[4]) == 2 and texts[1] == [frame[0][1]]
     assert substring_dedup.without_repeats(docs.limit(0)).collect() == []
+    clashing = docs.withColumns({c: F.lit(1) for c in ("cuts", "cut_id", "cut_version")})
+    again = substring_dedup.without_repeats(clashing)
+    assert again.columns == clashing.columns and sorted(map(str, again.select(*docs.columns).collect())) == sorted(map(str, left.collect()))
 
 
 def test_common_passage_with_different_neighbours(spark):
