@@ -738,11 +738,16 @@ def oracle_sql() -> dict[str, str]:
             select * exclude (lot, place) from kept where place <= (select n from missing)""",
         "retrieval_metrics": _metrics_sql(),
         "answer_scorecard": _scorecard(),
+        "results_json": _scorecard(),
+        "display_rows": f"""with {_AWARDS} select award_ref, coalesce(awardee_size, '') as awardee_size,
+            cast(award_date as varchar) as award_date, cast(contract_amount as varchar) as contract_amount,
+            cast(quantity as double) as quantity from awards""",
         "pending_embeddings": f"""with {_PARTS} select item_id from catalogue
             where item_id not in (select item_id from vectors)""",
         "next_chunk": f"""with {_PARTS} select item_id from catalogue
             where item_id not in (select item_id from vectors) order by item_id limit 500""",
         "embed_rebuild": _hashed("catalogue"),
+        "embed_parts": _hashed("catalogue"),
         "doc_text": f"with {_TYPED}, {_items('typed', 'items')} {_payload('items')}",
         "embedding_cost": f"""with {_PARTS}, pending as (
             select * from catalogue where item_id not in (select item_id from vectors)),

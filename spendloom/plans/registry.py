@@ -87,7 +87,8 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         quarantine=quarantine,
         deduped=deduped,
         zero_amount=silver.zero_amounts(deduped),
-        catalogue=cat.unique_items(typed).withColumn("embedding", F.lit(None).cast("array<float>")),
+        # the catalogue as it is searched: with the vectors that are stored for it
+        catalogue=cat.unique_items(typed).join(tb.item_embeddings(spark, sf_dir).drop("label"), "item_id", "left"),
     )
 
 
@@ -387,6 +388,25 @@ def _embed_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weights(emb.read_embeddings(spark, path))
 
 
+def _embed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors committed part by part."""
+    path = f"{new_folder(spark, 'parts')}/embeddings"
+    emb.embed_pending(tb.catalogue(spark, sf_dir), path, emb.hashing_embedder(EMBED_WIDTH), EMBED_WIDTH, chunk=500)
+    return _weights(emb.read_embeddings(spark, path))
+
+
+def _results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorecard as it comes back from its JSON file."""
+    path, card = f"{new_folder(spark, 'results')}/scorecard", ev.answer_scorecard(tb.answer_scores(spark, sf_dir))
+    evalset.write_json(card, path)
+    return spark.read.schema(card.schema).json(path)
+
+
+def _display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Awards as they are shown: text without NULL, numbers as they are."""
+    return comparable(an.display_rows(tb.awards(spark, sf_dir).select("award_ref", "awardee_size", "award_date", "contract_amount", "quantity")))
+
+
 def _ground_truth_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{new_folder(spark, 'questions')}/set"
     evalset.write_json(_ground_truth(spark, sf_dir), path)
@@ -526,6 +546,9 @@ def queries() -> dict[str, Query]:
         "bm25_topk": lambda s, d: _ranked(
             ti.keyword_search(_documents_index(s, d), _benchmark_queries(s, d), 20)
         ),
+        "bm25_stemmed": lambda s, d: _ranked(
+            ti.keyword_search(ti.stemmed(_documents_index(s, d)), _benchmark_queries(s, d), 20, stemming=True)
+        ),
         "bm25_topk_scoped": lambda s, d: _ranked(
             ti.keyword_search(_documents_index(s, d), _benchmark_queries(s, d), 20, _document_scope(s, d))
         ),
@@ -562,6 +585,8 @@ def queries() -> dict[str, Query]:
         "enriched_sample": _enriched,
         "retrieval_metrics": _retrieval_metrics,
         "ground_truth_json": _ground_truth_json,
+        "results_json": _results_json,
+        "display_rows": _display,
         "answer_scorecard": lambda s, d: ev.answer_scorecard(tb.answer_scores(s, d)),
         # embedding jobs
         "pending_embeddings": lambda s, d: emb.pending_items(tb.catalogue(s, d), tb.item_embeddings(s, d)).select(
@@ -571,6 +596,7 @@ def queries() -> dict[str, Query]:
             emb.pending_items(tb.catalogue(s, d), tb.item_embeddings(s, d))
         ).select("item_id"),
         "embed_rebuild": _embed_rebuild,
+        "embed_parts": _embed_parts,
         "doc_text": lambda s, d: emb.payloads(cat.unique_items(_typed(s, d))),
         "embedding_cost": lambda s, d: comparable(
             emb.chunk_log(emb.pending_items(tb.catalogue(s, d), tb.item_embeddings(s, d)))
