@@ -58,6 +58,33 @@ def test_workbooks_become_text(spark, tmp_path):
     assert workbook.read_workbooks(spark, paths, ["Region"]).count() == 3
 
 
+def test_cells_under_blank_and_repeated_headings_stay(spark, tmp_path):
+    sheet = [["Region", None, "region", "Region_1", "Region"], ["a", "b", "c", "d", "e", "f"], [None, None, None, None, None, None, None, 7]]
+    write_workbook(tmp_path / "a.xlsx", sheet, [])
+    got = workbook.read_workbooks(spark, str(tmp_path / "a.xlsx"))
+    assert got.columns == ["Region", "column_B", "region_2", "Region_1", "Region_3", "column_F", "column_H"]
+    assert rows(got, "Region") == [(None, None, None, None, None, None, "7"), ("a", "b", "c", "d", "e", "f", None)]
+    assert workbook._letters(0) + workbook._letters(25) + workbook._letters(26) + workbook._letters(701) + workbook._letters(702) == "AZAAZZAAA"
+
+
+def test_sheets_are_taken_in_the_workbooks_order(spark, tmp_path):
+    path = tmp_path / "a.xlsx"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    listed = "".join(f'<sheet name="{n}" sheetId="{k}" r:id="{r}"/>' for k, (n, r) in enumerate([("Chart", "r3"), ("Data", "r2"), ("Notes", "r1")], 1))
+    parts = {"r1": "worksheets/sheet1.xml", "r2": "/xl/worksheets/sheet2.xml", "r3": "chartsheets/sheet1.xml"}
+    with zipfile.ZipFile(path, "w") as book:
+        for k, cell in (("worksheets/sheet1", "note"), ("worksheets/sheet2", "data"), ("chartsheets/sheet1", "chart")):
+            line = "".join(f'<row><c t="inlineStr"><is><t>{t}</t></is></c></row>' for t in (cell, f"{cell} 1"))
+            book.writestr(f"xl/{k}.xml", f"<worksheet {NS}><sheetData>{line}</sheetData></worksheet>")
+        book.writestr("xl/workbook.xml", f'<workbook {NS} xmlns:r="{office}"><sheets>{listed}</sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="{i}" Target="{t}"/>' for i, t in parts.items()) + "</Relationships>")
+    first, named = workbook.read_workbooks(spark, str(path)), workbook.read_workbooks(spark, str(path), sheet="Notes")
+    assert (first.columns, rows(first)) == (["data"], [("data 1",)])
+    assert (named.columns, rows(named)) == (["note"], [("note 1",)])
+    with pytest.raises(Exception, match="without a worksheet Gone"):
+        workbook.read_workbooks(spark, str(path), sheet="Gone").collect()
+
+
 def test_csv_and_parquet_bronze(spark, tmp_path):
     (tmp_path / "x.csv").write_text('Region,"Contract Amount"\nNCR,"1,234.50"\n')
     csv = tables.bronze_from_csv(spark, str(tmp_path / "x.csv"), "2025-Q2")
