@@ -704,6 +704,8 @@ def oracle_sql() -> dict[str, str]:
             select term, min(item_id) as item_id, count(*) as matches from asked join catalogue on
                 contains(lower(notice_title), term) or contains(lower(item_name), term) or contains(lower(item_desc), term)
             group by term""",
+        "distinct_sketches": f"""with {_AWARDS} select substr(quarter, 1, 4) as year,
+            count(distinct item_id) as exact, true as within from awards group by 1""",
         "cosine_all": every_vector,
         "ann_stored": every_vector,
         "cosine_topk": f"with {_PARTS}, {_cosine(20, None)} {ranked} vector_hits",

@@ -14,7 +14,7 @@ from spendloom.operators import analytics as an
 from spendloom.operators import catalogue as cat
 from spendloom.operators import embedding as emb
 from spendloom.operators import evaluation as ev
-from spendloom.operators import fusion, quality, silver, spend, telemetry, vector_cells, vector_search
+from spendloom.operators import fusion, quality, silver, sketches, spend, telemetry, vector_cells, vector_search
 from spendloom.operators import text_index as ti
 from spendloom.operators.audit import audit_statements, run_sql
 from spendloom.operators.substring_match import first_matches
@@ -25,7 +25,7 @@ from spendloom.schema import CATALOGUE_COLUMNS, ITEM_TEXT
 from spendloom.session import new_folder
 from spendloom.sources import evalset
 from spendloom.sources.keyed import KeyedSink
-from spendloom.sources.tables import refresh_table
+from spendloom.sources.tables import refresh_partitions, refresh_table
 from spendloom.streaming import jobs, ratings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,6 +316,16 @@ def _unrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir).withColumn("feedback", F.lit(None).cast("string"))
 
 
+def _distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct items per year from sketches that were stored per quarter, beside the exact counts."""
+    path, awards = f"{new_folder(spark, 'sketches')}/items", tb.awards(spark, sf_dir).select("item_id", "quarter")
+    refresh_partitions(sketches.key_sketches(awards, "item_id", ["quarter"]), path)
+    year = F.substring("quarter", 1, 4).alias("year")
+    exact = awards.groupBy(year).agg(F.count_distinct("item_id").alias("exact"))
+    stored_sketches = spark.read.parquet(path).select(year, "sketch")
+    return sketches.checked_estimates(stored_sketches, exact, ["year"]).select("year", "exact", "within")
+
+
 def _feedback_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _given(tb.table(spark, sf_dir, "events"))
     return telemetry.with_feedback(_unrated(spark, sf_dir), given).select("id", "query", "feedback")
@@ -613,6 +623,7 @@ def queries() -> dict[str, Query]:
         "telemetry_latency": on_log(telemetry.latency_series),
         "telemetry_cost": on_log(lambda log: telemetry.cost_by(log, "query")),
         "append_log": _append_log,
+        "distinct_sketches": _distinct_sketches,
         "log_evolution": _log_evolution,
         "query_audit": _audit,
         # streams

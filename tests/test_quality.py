@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from spendloom.operators import catalogue, quality, silver
+from spendloom.operators import catalogue, quality, silver, sketches
 from tests.award_rows import bronze
 from tests.conftest import rows
 
@@ -86,3 +86,16 @@ def test_strict_gate_raises(spark):
     with pytest.raises(quality.QualityGateError, match="line_item_no positive"):
         quality.run_quality_gate(bad)
     assert not quality.run_quality_gate(bad, strict=False)
+
+
+def test_stored_sketches_are_as_close_as_their_bound(spark):
+    frame = spark.range(60_000).selectExpr("concat('k', id % 25000) as k", "cast(id % 7 as string) as g", "id % 2 as h").unionByName(
+        spark.createDataFrame([(None, "0", 0)], "k string, g string, h long")
+    )
+    stored_ones = sketches.key_sketches(frame, "k", ["g", "h"])
+    for by in (["g"], ["h"], ["g", "h"]):
+        exact = frame.groupBy(*by).agg(F.count_distinct("k").alias("exact"))
+        found = sketches.checked_estimates(stored_ones, exact, by).collect()
+        assert len(found) == exact.count() and all(r["within"] for r in found)
+    whole = sketches.merged(stored_ones).select(sketches.estimate().alias("n")).first()["n"]
+    assert abs(whole - 25_000) <= 25_000 * sketches.relative_bound() and sketches.relative_bound() < 0.05
