@@ -23,6 +23,7 @@ from spendloom.llm.stored import cut, shipped, written
 
 SAMPLE_ROWS = 3000  # for each language
 SAMPLE_TASKS = 8
+SALTS = 64
 DIMENSION = 2048
 LETTERS = 3
 UNKNOWN = "und"
@@ -177,9 +178,13 @@ def train(docs: DataFrame, size: int = SAMPLE_ROWS) -> Model:
     rows = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (labelled.remainder("doc_id", 4) != 2)
     )
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= size)
-    texts = cut(rows.join(written(chosen.drop("n"), "languages"), ["doc_id", "lang"], "left_semi").select("lang", "text").repartition(SAMPLE_TASKS))
+    ids = rows.select("doc_id", "lang").distinct()
+    # First by language and salt, so that the ids of a language with most rows are cut in many tasks.
+    for part in (("lang", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS))), ("lang",)):
+        order = W.partitionBy(*part).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= size).drop("n")
+    chosen = ids
+    texts = cut(rows.join(written(chosen, "languages"), ["doc_id", "lang"], "left_semi").select("lang", "text").repartition(SAMPLE_TASKS))
 
     def bundles(batches):
         space, total = Space(), defaultdict(lambda: np.zeros(DIMENSION))
