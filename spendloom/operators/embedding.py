@@ -110,8 +110,8 @@ def embed_pending(
     """Embed what is missing and append it; vectors of another width are rebuilt from scratch.
 
     The table is a keyed sink. With ``chunk``, the pending items are dealt once into parts of about so many, by the hash
-    of their id, and committed part by part; what a part wrote stays if a later one fails, and the next run embeds only
-    the rest. Without it all are committed together.
+    of their id, and committed part by part, each by its own task; what a part wrote stays if a later one fails, and the
+    next run embeds only the rest. Without it all are committed together.
     """
     sink = KeyedSink(items.sparkSession, path, "item_id")
     held = sink.read()
@@ -120,10 +120,10 @@ def embed_pending(
     todo = sink.missing(items)
     if limit:
         todo = stored(next_chunk(todo, limit), "next-items")
-    parts = -(-todo.count() // chunk) if chunk else 1
-    for part in range(parts):
-        some = todo.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else todo
-        sink.append_missing(embed(some, make_embedder))
+    if chunk:
+        sink.append_parts(todo, chunk, lambda part: embed(part, make_embedder))
+    else:
+        sink.append_missing(embed(todo, make_embedder))
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:

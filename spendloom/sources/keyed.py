@@ -14,17 +14,21 @@ writer at a time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendloom.session import stored
+from spendloom.session import new_folder, stored
 from spendloom.sources.tables import _folder, one_per_key, table_exists
 
 BUCKETS = 64
 WORDS = 1 << 16
 MERGE_AFTER = 16
 _BITS = 6
+# Places of a bucket that parts are cut at.
+_PLACES = 1 << 20
 
 
 def _mask(key: Column) -> Column:
@@ -109,14 +113,50 @@ class KeyedSink:
         rows = stored(self._spread(rows.drop("key_bucket", "_word", "_mask")), "new-rows")
         if rows.isEmpty():
             return
+        filters = self._add_filter(rows)
+        rows.drop("_word", "_mask").repartition("key_bucket").write.mode("append").partitionBy("key_bucket").parquet(self.path)
+        self._merge_many(filters)
+
+    def append_parts(self, rows: DataFrame, size: int, make: Callable[[DataFrame], DataFrame]) -> None:
+        """Append ``make(rows)`` of rows that ``missing`` gave, in parts of about ``size`` rows; what a part wrote stays.
+
+        A part is a task that commits its own rows when it is done (Hadoop's committer version 2), whatever becomes of
+        the others. The parts are run in rounds of twice as many as before, so a run has few jobs however many parts
+        it has, and each round reads only its own rows. A part lies in few buckets, so it writes few files.
+        """
+        parts = -(-rows.count() // size)
+        if not parts:
+            return
+        spread = self._spread(rows.drop("key_bucket", "_word", "_mask"))
+        filters = self._add_filter(spread)
+        place = F.col("key_bucket") * F.lit(_PLACES) + F.pmod(F.xxhash64(F.lit("part"), F.col(self.key)), F.lit(_PLACES))
+        part = F.floor(place * F.lit(parts) / F.lit(self.buckets * _PLACES)).cast("int")
+        # Round r has the parts from 2 ** r - 1 on.
+        dealt = spread.withColumn("_part", part).withColumn("_round", F.length(F.bin(F.col("_part") + 1)) - 1)
+        path = new_folder(self.spark, "parts")
+        dealt.drop("key_bucket", "_word", "_mask").repartition("_round", "_part").write.partitionBy("_round").parquet(path)
+        dealt = self.spark.read.parquet(path)
+        for k in range(parts.bit_length()):
+            first, last = (1 << k) - 1, min((1 << k + 1) - 1, parts)
+            own = dealt.filter(F.col("_round") == k).repartitionById(last - first, F.col("_part") - first)
+            made = make(own.drop("_part", "_round"))
+            self._spread(made).drop("_word", "_mask").write.mode("append").option(
+                "mapreduce.fileoutputcommitter.algorithm.version", "2"
+            ).partitionBy("key_bucket").parquet(self.path)
+        self._merge_many(filters)
+
+    def _add_filter(self, rows: DataFrame) -> list[str]:
+        """Write the filter of these keys; the names of all filters by now."""
         bases, more = self._filter_folders()
         last = [int(n.split("-")[1]) for n in (*bases, *more)]
-        number = f"{max(last, default=0) + 1:09d}"
+        name = f"more-{max(last, default=0) + 1:09d}"
         own = rows.groupBy("key_bucket", "_word").agg(F.bit_or("_mask").alias("_bits")).select("_word", "_bits", "key_bucket")
-        own.sort("key_bucket", "_word").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_filters/more-{number}")
-        rows.drop("_word", "_mask").repartition("key_bucket").write.mode("append").partitionBy("key_bucket").parquet(self.path)
-        if len(more) + 1 >= MERGE_AFTER:
-            self._merge(number, [*bases, *more, f"more-{number}"])
+        own.sort("key_bucket", "_word").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_filters/{name}")
+        return [*bases, *more, name]
+
+    def _merge_many(self, filters: list[str]) -> None:
+        if sum(n.startswith("more") for n in filters) >= MERGE_AFTER:
+            self._merge(filters[-1].split("-")[1], filters)
 
     def _merge(self, number: str, old: list[str]) -> None:
         """One base by bucket in place of all filters so far."""

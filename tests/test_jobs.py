@@ -151,6 +151,18 @@ def test_embedding_commits_part_by_part(spark, tmp_path):
     assert spark.read.parquet(path).select("item_id").distinct().count() == 30 == spark.read.parquet(path).count()
 
 
+def test_many_parts_need_few_jobs(spark, tmp_path):
+    path, context = str(tmp_path / "parts"), spark.sparkContext
+    context.setJobGroup("many-parts", "")
+    emb.embed_pending(items(spark, 200), path, emb.hashing_embedder(16), 16, chunk=2)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("many-parts")) < 60
+    stored = spark.read.parquet(path)
+    assert stored.count() == stored.select("item_id").distinct().count() == 200
+    # a part is a commit of its own: far more files than the 64 buckets of one
+    assert stored.select(F.input_file_name()).distinct().count() > 80
+
+
 def test_embed_stream_refuses_another_width(spark, tmp_path):
     source, sink = str(tmp_path / "items"), str(tmp_path / "vectors")
     items(spark).write.parquet(source)
