@@ -18,6 +18,9 @@ from spendloom.schema import (
 )
 from spendloom.sources.tables import text_columns
 
+# Words of the set that marks the hashes of repeated rows.
+MARK_WORDS = 1 << 21
+
 
 class Silver(NamedTuple):
     awards_raw: DataFrame
@@ -49,13 +52,20 @@ def grain_counts(bronze: DataFrame) -> DataFrame:
 def deduplicate(awards_raw: DataFrame) -> DataFrame:
     """Drop exact copies of whole rows.
 
-    Hashes of rows are counted first, so that only eight bytes of a row move; then only rows whose hash occurs more than
-    once are compared in full. All others stay where they are.
+    Hashes of rows are counted first, so that only eight bytes of a row move. Hashes that occur more than once are
+    marked in a broadcast set of at most ``64 * MARK_WORDS`` bits; only rows that it may hold are compared in full, all
+    others stay where they are.
     """
-    hashed = awards_raw.withColumn("_hash", F.xxhash64(*[F.col(f"`{c}`") for c in awards_raw.columns]))
-    again = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash")
-    alone = hashed.join(again, "_hash", "left_anti").drop("_hash")
-    return alone.unionByName(hashed.join(again, "_hash", "left_semi").drop("_hash").distinct())
+    columns = [F.col(f"`{c}`") for c in awards_raw.columns]
+    hashed = awards_raw.withColumn("_hash", F.xxhash64(*columns))
+    word = F.col("_hash").bitwiseAND(F.lit(MARK_WORDS - 1).cast("bigint"))
+    place = F.shiftrightunsigned("_hash", 58).cast("int")
+    mark = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+    again = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    marks = again.select(word.alias("_word"), mark.alias("_mark")).groupBy("_word").agg(F.bit_or("_mark").alias("_marks"))
+    held = hashed.withColumns({"_word": word, "_mark": mark}).join(F.broadcast(marks), "_word", "left")
+    repeated = F.coalesce(F.col("_marks").bitwiseAND(F.col("_mark")) != 0, F.lit(False))
+    return held.filter(~repeated).select(*columns).unionByName(held.filter(repeated).select(*columns).distinct())
 
 
 def _amount() -> Column:
@@ -120,5 +130,8 @@ def rejected_cells(deduped: DataFrame) -> DataFrame:
 def refine(bronze: DataFrame, strict: bool = True) -> Silver:
     """The whole silver stage as lazy frames."""
     awards_raw, quarantine = split_by_grain(bronze)
-    deduped = deduplicate(awards_raw)
-    return Silver(awards_raw, quarantine, deduped, type_and_clean(deduped, strict), zero_amounts(deduped))
+    # Copies are equal in their amount too, so rows are told apart by it first: the rows that count copies and those
+    # that are kept then come from the same joins, which Spark runs once.
+    typed = type_and_clean(deduplicate(awards_raw.filter(_amount() != 0)), strict)
+    zero = deduplicate(zero_amounts(awards_raw))
+    return Silver(awards_raw, quarantine, deduplicate(awards_raw), typed, zero)

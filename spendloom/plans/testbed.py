@@ -23,17 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
-    """Line items with buyer, place, winner and item; join sides are left to Spark to size up."""
+    """Line items with buyer, place, winner and item; join sides are left to Spark to size up.
+
+    The buyers are joined with their orders first, so a line item moves twice, narrow: to its order and to its part.
+    The part comes last: its texts, the widest columns, don't move on, and the awards of an item lie together.
+    """
     at = lambda name: table(spark, sf_dir, name)
-    return (
-        (at("lineitem") if lineitem is None else lineitem)
-        .join(at("part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(at("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(at("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    bought = (
+        at("orders")
         .join(at("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(at("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(at("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
+    return (
+        (at("lineitem") if lineitem is None else lineitem)
+        .join(at("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(at("part"), F.col("l_partkey") == F.col("p_partkey"))
+    )
 
 
 def _part_texts() -> dict[str, Column]:

@@ -4,6 +4,7 @@ from decimal import Decimal
 import pytest
 
 from spendloom.operators import silver
+from spendloom.plans import testbed
 from tests.award_rows import bronze
 from tests.conftest import rows
 
@@ -69,3 +70,23 @@ def test_strict_typing_fails_and_permissive_counts(spark):
         silver.type_and_clean(raw).collect()
     assert {r["approved_budget"] for r in silver.type_and_clean(raw, strict=False).collect()} == {Decimal("120.00"), None}
     assert silver.rejected_cells(raw).first()["approved_budget"] == 1
+
+
+@pytest.mark.parametrize("words", [1, 1 << 21])
+def test_only_marked_rows_move_whole(spark, monkeypatch, words):
+    monkeypatch.setattr(silver, "MARK_WORDS", words)
+    frame = spark.range(600).selectExpr("cast(if(id % 7 = 0, 7, id) as string) as x", "if(id % 2 = 0, null, 'b') as y")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = silver.deduplicate(frame)
+        assert rows(found, "x", "y") == rows(frame.distinct(), "x", "y")
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_wide_part_texts_are_joined_last(spark, sf_dir):
+    plan = testbed.lines(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert "p_partkey" in joins[0] and "o_orderkey" in joins[1]
