@@ -423,10 +423,14 @@ def _ground_truth_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evalset.read_questions(spark, path)
 
 
-def _in_files(df: DataFrame, path: str, files: int = 4) -> str:
-    """The frame as a few files below the path, for a stream of as many batches."""
-    df.repartition(files).write.parquet(path)
-    return path
+BATCHES, FILE_ROWS = 4, 1_000_000
+
+
+def _in_files(df: DataFrame, path: str) -> int:
+    """The frame as files of at most about ``FILE_ROWS`` rows below the path; how many make a batch, for a few batches."""
+    each = max(1, -(-df.count() // (BATCHES * FILE_ROWS)))
+    df.repartition(BATCHES * each).write.parquet(path)
+    return each
 
 
 def _embed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,8 +448,8 @@ def _embed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _catalogue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "catalogue-stream")
     schema = tb.table(spark, sf_dir, "lineitem").schema
-    source = _in_files(tb.table(spark, sf_dir, "lineitem"), f"{root}/lines")
-    stream = jobs.read_files(spark, source, schema, files_per_batch=1)
+    each = _in_files(tb.table(spark, sf_dir, "lineitem"), f"{root}/lines")
+    stream = jobs.read_files(spark, f"{root}/lines", schema, files_per_batch=each)
     jobs.run_to_end(
         jobs.grow_catalogue(
             stream, f"{root}/items", f"{root}/checkpoint", lambda batch: tb.awards(spark, sf_dir, batch)
@@ -458,8 +462,8 @@ def _telemetry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "telemetry-stream")
     schema = tb.table(spark, sf_dir, "events").schema
     # the files hold calls of all times, so none is late
-    source = _in_files(tb.table(spark, sf_dir, "events"), f"{root}/events")
-    log = tb.query_log(jobs.read_files(spark, source, schema, files_per_batch=1))
+    each = _in_files(tb.table(spark, sf_dir, "events"), f"{root}/events")
+    log = tb.query_log(jobs.read_files(spark, f"{root}/events", schema, files_per_batch=each))
     jobs.run_to_end(jobs.stream_telemetry(log, f"{root}/windows", f"{root}/checkpoint", lateness="20000 days"))
     return comparable(jobs.read_telemetry(spark, f"{root}/windows"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from spendloom.operators import embedding as emb
 from spendloom.operators import telemetry
 from spendloom.operators.catalogue import unique_items
+from spendloom.plans import registry
 from spendloom.plans import testbed as tb
 from spendloom.sources import keyed
 from spendloom.sources.keyed import KeyedSink
@@ -259,3 +260,11 @@ def test_ratings_as_state(spark, tmp_path):
     assert run() == {1: ("thumbs_up", 4), 2: ("thumbs_down", 7), 3: ("thumbs_up", 5), 4: ("thumbs_down", 27)}
     # Every third batch leaves one folder.
     assert len(list(Path(path).glob("run=*/epoch=*"))) <= 3
+
+
+def test_stream_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "FILE_ROWS", 50)
+    assert registry._in_files(spark.range(1000), str(tmp_path / "many")) == 5
+    sizes = spark.read.parquet(str(tmp_path / "many")).groupBy(F.input_file_name()).count()
+    assert sizes.count() == 20 and sizes.agg(F.max("count")).first()[0] <= 60
+    assert registry._in_files(spark.range(10), str(tmp_path / "few")) == 1
