@@ -419,3 +419,14 @@ def test_summary_text(spark):
     context = {r["query_id"]: r["context"] for r in spend.context_text(summaries, details).collect()}
     assert context[1] == text[1] + "\nMatched items:\n1. aaaaaaaa | Paper | t | Paper\n2. dddddddd | Fuel | t | Oil | d"
     assert context[2] == text[2]
+
+
+def test_vectors_move_to_few_tiles(spark):
+    def blocks(n, rows):
+        return spark.range(n).select(vector_search._tiles(rows)).first()[0]
+
+    many = 1_000_000
+    # a vector moves once per block of the other side
+    assert blocks(many, vector_search.BLOCK_ROWS) + blocks(many, vector_search.CORPUS_ROWS) < 100
+    assert blocks(100_000, vector_search.BLOCK_ROWS) == blocks(20_000, vector_search.BLOCK_ROWS) == 8
+    assert [blocks(n, vector_search.CORPUS_ROWS) for n in (0, 1, 3000)] == [1, 1, 2]
