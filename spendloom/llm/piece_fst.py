@@ -77,6 +77,8 @@ class Transducer:
         self._compile_trie(reach)
         self.lengths = np.array([len(n) for n in names], dtype=np.int64)
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.steps: dict[int, tuple[list[float], list[str], list[str]]] = {}
+        self.parts: dict[str, str] = {}
         self.slot_key = np.full(_PAIR_SLOTS, -1, dtype=np.int64)
         self.slot_fits = np.zeros(_PAIR_SLOTS, dtype=bool)
         self.known: dict[str, bytes] = {}
@@ -84,7 +86,7 @@ class Transducer:
         return self
 
     def _compile_trie(self, reach: dict[str, int]) -> None:
-        """States and transitions as sorted arrays: key = state and character, value = next state."""
+        """States and transitions as a hash table: key = state and character, value = next state."""
         states, arcs, accepts = {"": 0}, {}, {}
         for name in sorted(reach):
             for k in range(1, len(name) + 1):
@@ -92,12 +94,35 @@ class Transducer:
                     states[name[:k]] = len(states)
                     arcs[(states[name[: k - 1]] << 21) | ord(name[k - 1])] = states[name[:k]]
             accepts[states[name]] = reach[name]
-        keys = np.array(sorted(arcs), dtype=np.int64)
-        self.trie_key, self.trie_next = keys, np.array([arcs[k] for k in keys.tolist()], dtype=np.int64)
+        # A table with at least four slots an arc; arcs of one slot lie in the next free ones.
+        bits = (4 * len(arcs)).bit_length()
+        self.trie_shift = np.uint64(64 - bits)
+        self.trie_key, self.trie_next = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64)
+        keys = np.array(list(arcs), dtype=np.int64)
+        for key, slot in zip(keys.tolist(), self._arc_slots(keys).tolist()):
+            while self.trie_key[slot] >= 0:
+                slot = (slot + 1) & ((1 << bits) - 1)
+            self.trie_key[slot], self.trie_next[slot] = key, arcs[key]
         self.accept = np.full(len(states), -1, dtype=np.int64)
         self.accept[list(accepts)] = list(accepts.values())
         self.depth_one = {n for n in reach if len(n) == 1}
 
+    def _arc_slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.trie_shift).astype(np.int64)
+
+    def _follow(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which keys are arcs, their next states)."""
+        slot = self._arc_slots(keys)
+        held = self.trie_key[slot]
+        hit = held == keys
+        open_ = np.flatnonzero(~hit & (held >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.trie_key) - 1)
+            held = self.trie_key[slot[open_]]
+            hit[open_] = held == keys[open_]
+            open_ = open_[(held != keys[open_]) & (held >= 0)]
+        return hit, self.trie_next[slot[hit]]
+
     # The merge machine.
 
     def merged(self, text: str) -> list[str]:
@@ -119,9 +144,49 @@ class Transducer:
         if (found := self.pairs.get((a, b))) is None:
             if len(self.pairs) > 300_000:
                 self.pairs.clear()
-            found = self.pairs[(a, b)] = self.merged(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
+            found = self.pairs[(a, b)] = self._stay_apart(a, b)
+        return found
+
+    def _merges(self, piece: int) -> tuple[list[float], list[str], list[str]]:
+        """A piece's own merges: the score of each, and the first and the last part before each and at the end."""
+        if (found := self.steps.get(piece)) is None:
+            parts, score, own = list(self.names[piece]), self.score, self.parts
+            scores, firsts, lasts = [], [parts[0]], [parts[-1]]
+            while len(parts) > 1:
+                best, at = None, -1
+                for k in range(len(parts) - 1):
+                    s = score.get(parts[k] + parts[k + 1])
+                    if s is not None and (best is None or s > best):
+                        best, at = s, k
+                joined = parts[at] + parts[at + 1]
+                parts[at : at + 2] = [own.setdefault(joined, joined)]
+                scores.append(best)
+                firsts.append(parts[0])
+                lasts.append(parts[-1])
+            found = self.steps[piece] = (scores, firsts, lasts)
         return found
 
+    def _stay_apart(self, a: int, b: int) -> bool:
+        """Whether merging ``a`` and ``b`` side by side never joins across their border.
+
+        Until it does, each side takes its own merges in their order, the better next one first and the left one of
+        equals.
+        """
+        own, _, lasts = self._merges(a)
+        other, firsts, _ = self._merges(b)
+        i, j, n, m, score = 0, 0, len(own), len(other), self.score
+        while True:
+            left, right = own[i] if i < n else None, other[j] if j < m else None
+            across = score.get(lasts[i] + firsts[j])
+            if across is not None and (left is None or across > left) and (right is None or across >= right):
+                return False
+            if left is None and right is None:
+                return True
+            if right is None or (left is not None and left >= right):
+                i += 1
+            else:
+                j += 1
+
     def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.size + b
         slot = (mix(key.astype(np.uint64)) & np.uint64(_PAIR_SLOTS - 1)).astype(np.int64)
@@ -167,10 +232,8 @@ class Transducer:
         # Composition with the trie, from every position at once.
         at, state, found = np.arange(len(codes)), np.zeros(len(codes), np.int64), []
         for length in range(1, self.longest + 1):
-            key = (state << 21) | codes[at + length - 1]
-            place = np.minimum(np.searchsorted(self.trie_key, key), len(self.trie_key) - 1)
-            hit = self.trie_key[place] == key
-            at, state = at[hit], self.trie_next[place[hit]]
+            hit, state = self._follow((state << 21) | codes[at + length - 1])
+            at = at[hit]
             emits = self.accept[state] >= 0
             found.append((at[emits], np.full(emits.sum(), length), self.accept[state[emits]]))
             more = left[at] > length
@@ -179,7 +242,9 @@ class Transducer:
                 break
         start, length, piece = (np.concatenate(x) for x in zip(*found))
         end = offset[start] + length
-        order = np.lexsort((-length, end))
+        # By end, the longest first; numbers of 16 bits are sorted by counting.
+        turn = end * (self.longest + 1) + self.longest - length
+        order = np.argsort(turn.astype(np.min_scalar_type(int(turn.max()))), kind="stable")
         start, length, piece, end = start[order], length[order], piece[order], end[order]
         # Relaxation by end; an arc into a settled node is not tried, as a node has one finite path.
         node = start + np.repeat(np.arange(len(runs)), size)[start]
@@ -205,9 +270,11 @@ class Transducer:
             word, now = word[more], now[more]
         which = np.concatenate([w for w, _ in steps])
         token = np.concatenate([t for _, t in steps]).astype("<i4")
-        turn = np.concatenate([np.full(len(w), -k) for k, (w, _) in enumerate(steps)])
-        order = np.lexsort((turn, which))
-        flat, ends = token[order].tobytes(), np.cumsum(np.bincount(which, minlength=len(runs))) * 4
+        turn = np.repeat(np.arange(len(steps)), [len(w) for w, _ in steps])
+        ends = np.cumsum(np.bincount(which, minlength=len(runs)))
+        placed = np.empty_like(token)
+        placed[ends[which] - 1 - turn] = token
+        flat, ends = placed.tobytes(), ends * 4
         return [flat[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
 
     # Texts.

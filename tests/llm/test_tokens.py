@@ -69,6 +69,17 @@ def test_batches_equal_single_paths(machine):
     assert [np.frombuffer(p, "<i4").tolist() for p in machine.paths_of(marked)] == [machine.path_of(m) for m in marked]
 
 
+def test_pairs_are_told_apart_without_merging_their_texts(monkeypatch):
+    machine = piece_fst.Transducer(MODEL).compile()
+    draw, ids = random.Random(5), list(machine.arc.values())
+    alike = [i for i in ids if set(machine.names[i]) <= set("aehnrt▁")]
+    pairs = [(draw.choice(some), draw.choice(some)) for some in (ids, alike) for _ in range(4000)]
+    merged = [machine.merged(machine.names[a] + machine.names[b]) == [machine.names[a], machine.names[b]] for a, b in pairs]
+    assert 0 < sum(merged) < len(pairs)
+    monkeypatch.setattr(machine, "merged", None)
+    assert [machine.fits(a, b) for a, b in pairs] == merged
+
+
 def test_encoding_query_and_round_trip(spark, sf_dir, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     encoded = op9_piece_fst(spark, sf_dir)
