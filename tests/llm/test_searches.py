@@ -201,6 +201,28 @@ def test_lesser_documents_do_not_hide_exact_copies(spark):
     assert [i for i in brute if not brute[i] <= covered[i]] == []
 
 
+def test_texts_that_share_a_phrase_do_not_hide_near_copies(spark):
+    """Many earlier texts share no more than a phrase with two near copies, which have no long part in common unchanged."""
+    draw = random.Random(12)
+
+    def noise(n):
+        return [f"n{draw.randrange(10**6)}" for _ in range(n)]
+
+    texts, passages = {}, 30
+    for p in range(passages):
+        passage = [f"p{p}.{k}" for k in range(50)]
+        for at in range(0, 43, 3):
+            texts[1000 * p + at] = noise(60) + passage[at : at + 8] + noise(60)
+        changed = [*passage[:25], f"c{p}", *passage[26:]]
+        texts[100_000 + p] = noise(40) + passage + noise(40)
+        texts[200_000 + p] = noise(50) + changed + noise(50)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
+    got = substring_dedup.repeated_passages(docs).collect()
+    assert all(r.first_id == r.id - 100_000 and (r.start, r.end) == (50, 100) for r in got)
+    # Three functions let a pair at this similarity collide with a probability of 0.99.
+    assert len({r.id for r in got}) >= passages - 1
+
+
 class Visible(HTMLParser):
     """Words outside head, scripts and styles, the brute way."""
 
