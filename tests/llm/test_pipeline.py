@@ -1,5 +1,6 @@
 """The pipeline stage by stage against brute force, on the smallest tables."""
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -117,3 +118,18 @@ def test_rows_of_one_id_stay_or_go_each_for_itself(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted([(1, clean[0], "en"), (1, leak, "en"), (None, clean[1], "en"), (3, None, "x")], key=str)
     again = docs.where("doc_id = 2")
     assert [tuple(r) for r in corpus_pipeline.one_of_near_copies(spark, again, str(tmp_path)).collect()] == [(2, clean[0], "aa")]
+
+
+def test_stages_get_few_texts_at_a_time(spark, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
+
+    def stage(session, docs, sf_dir):
+        return docs.select("text").coalesce(1).mapInArrow(sizes, "n bigint")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", stage)])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = [r.n for r in corpus_pipeline.run(spark, "/root/testdata/sf0.01").collect()]
+    assert sum(got) == 1000 and max(got) <= corpus_pipeline.BATCH_ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
