@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spendloom.functions.stemming import stems, vocabulary
+from spendloom.functions.stemming import stems
 from spendloom.functions.text import STOP_WORDS, clean_query, search_tokens
 from spendloom.operators import block_postings
+from spendloom.session import stored
 
 # Usual BM25 constants (Robertson & Zaragoza 2009).
 K1 = 1.2
@@ -73,9 +74,11 @@ def build_index(
 
 
 def stemmed(index: TextIndex) -> TextIndex:
-    """The index over word stems: only the distinct terms are stemmed, postings are joined with them."""
-    by_stem = index.postings.join(vocabulary(index.terms), "term").drop("term").withColumnRenamed("stem", "term")
+    """The index over word stems. Its postings are written below the shared folder: weights and searches read them, and
+    the texts are read and their words stemmed once."""
+    by_stem = index.postings.withColumn("term", stems(F.col("term")))
     postings = by_stem.groupBy("term", "item_id", "doc_len").agg(F.sum("tf").alias("tf")).select(*index.postings.columns)
+    postings = stored(postings, "stemmed-postings")
     return TextIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), index.stats)
 
 

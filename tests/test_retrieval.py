@@ -231,6 +231,14 @@ def test_stemmed_search_finds_other_forms(spark):
     assert "ourselves" in english_stop_words() and len(english_stop_words()) > 150
 
 
+def test_stemmed_index_stems_its_words_once(spark):
+    items = spark.createDataFrame([("a", "boxes boxing boxed"), (None, "a box"), ("a", "boxes boxing boxed")], "item_id string, text string")
+    index = ti.stemmed(ti.build_index(items, ["text"]))
+    assert sorted((r["item_id"] or "", r["term"], r["tf"]) for r in index.postings.collect()) == [("", "box", 1), ("a", "box", 6)]
+    # weights and searches read the written postings
+    assert all("ArrowEvalPython" not in df._jdf.queryExecution().toString() for df in (index.postings, index.terms))
+
+
 def test_vectors_without_length_and_scope(spark):
     frame = spark.createDataFrame(
         [("a", [0.0, 0.0]), ("b", [1.0, 0.0]), ("c", None), ("d", [0.0, 2.0])], "item_id string, embedding array<float>"
