@@ -28,9 +28,12 @@ def english_stop_words() -> tuple[str, ...]:
     return tuple(sorted({part for word in listed for part in word.split("'")} - {""}))
 
 
+EDGE_BLANKS = r"^\p{Zs}+|\p{Zs}+$"
+
+
 def strip_blanks(c: Column) -> Column:
     """Trim every Unicode space separator, not only U+0020."""
-    return F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+$", "")
+    return F.regexp_replace(c, EDGE_BLANKS, "")
 
 
 def squash_blanks(c: Column) -> Column:
@@ -46,12 +49,13 @@ def null_text(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """``null_text(squash_blanks(c))``, for a plain column.
 
-    Nearly all values are clean already. They cost one containment test and one search; the replacements run
-    on the others. The value is named in each branch, so the branches stay cheap where a filter repeats them.
+    Nearly all values are clean already. They cost one containment test and one search, which stops after one pass over
+    printable ASCII words with single blanks between them; the replacements run on the others. The value is named in
+    each branch, so the branches stay cheap where a filter repeats them.
     """
     blank = r"[\p{Zs}\t\n\f\r]"
     only_null = c.contains(LITERAL_NULL) & c.rlike(f"^{blank}*{LITERAL_NULL}{blank}*$")
-    untidy = c.rlike(r"[\t\n\f\r]|  |^\p{Zs}|\p{Zs}$")
+    untidy = c.rlike(r"^(?![!-~]++(?: [!-~]++)*+\z)(?s:.*?)(?:[\t\n\f\r]|  |^\p{Zs}|\p{Zs}$)")
     return F.when(only_null, F.lit(None)).when(untidy, squash_blanks(c)).otherwise(c)
 
 

@@ -1,15 +1,17 @@
 """Data-quality gate: row conservation, types, sentinels, white space, catalogue keys.
 
-Each input is scanned once. The scans give small (metric, value) rows that a single-row aggregate lines up,
-and the checks are expressions over that row.
+Each input is scanned once, the typed awards once per kind of check, reading its columns only. The scans give small
+(metric, value) rows that a single-row aggregate lines up, and the checks are expressions over that row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendloom.functions.text import strip_blanks
+from spendloom.functions.text import EDGE_BLANKS
 from spendloom.schema import BUDGET_SENTINEL, DATE_COLUMNS, LITERAL_NULL
 
 # Which columns the sentinel and white-space checks look at, and the earliest sane year.
@@ -28,24 +30,26 @@ def _count_if(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
 
 
-def _typed_metrics() -> dict[str, Column]:
-    metrics = {
+def _has_blanks(c: Column) -> Column:
+    """Whether ``strip_blanks`` or the collapse of two blanks would change the text."""
+    return c.rlike(EDGE_BLANKS) | c.contains("  ")
+
+
+def _typed_metrics() -> list[dict[str, Column]]:
+    """The metrics of typed awards by kind. Each kind is a scan of its own, since the code that Spark generates for all of
+    them at once, typing included, is larger than the JVM compiles and then runs interpreted."""
+    numbers = {
         "typed": F.count(F.lit(1)),
         "bad_amount": _count_if(F.col("contract_amount").isNull() | (F.col("contract_amount") <= 0)),
         "bad_line": _count_if(F.col("line_item_no").isNull() | (F.col("line_item_no") <= 0)),
         "budget_sentinel": _count_if(F.col("item_budget") == BUDGET_SENTINEL),
     }
-    for c in DATE_COLUMNS:
-        metrics[f"date_{c}"] = _count_if(F.year(c) < EARLIEST_YEAR)
+    dates = {f"date_{c}": _count_if(F.year(c) < EARLIEST_YEAR) for c in DATE_COLUMNS}
     literal = F.lit(False)
     for c in SENTINEL_COLUMNS:
         literal = literal | F.coalesce(F.col(c) == LITERAL_NULL, F.lit(False))
-    metrics["literal_null"] = F.count_if(literal)
-    for c in BLANK_CHECKED:
-        metrics[f"blanks_{c}"] = _count_if(
-            (F.col(c) != strip_blanks(F.col(c))) | F.col(c).contains("  ")
-        )
-    return metrics
+    blanks = {f"blanks_{c}": _count_if(_has_blanks(F.col(c))) for c in BLANK_CHECKED}
+    return [numbers, dates, {"literal_null": F.count_if(literal)}, blanks]
 
 
 def _long(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
@@ -65,7 +69,8 @@ def quality_checks(
     catalogue: DataFrame | None = None,
 ) -> DataFrame:
     """Check rows (name, category, expected, actual, passed, detail); a table not given counts as empty."""
-    rows = _long(typed, _typed_metrics())
+    kinds = _typed_metrics()
+    rows = reduce(DataFrame.unionByName, [_long(typed, metrics) for metrics in kinds])
     for name, frame in {
         "bronze": bronze,
         "awards_raw": awards_raw,
@@ -90,7 +95,7 @@ def quality_checks(
 
     names = [
         "bronze", "awards_raw", "quarantine", "deduped", "zero_amount", "items", "item_keys",
-        *_typed_metrics(),
+        *(name for metrics in kinds for name in metrics),
     ]
     line = rows.agg(*[value(n).alias(n) for n in names])
 

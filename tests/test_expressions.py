@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,14 @@ def one(spark, expr, **columns):
 def test_blanks_and_literal_null(spark, raw, clean):
     c = F.col("x")
     assert one(spark, text.clean_text(c), x=raw) == clean
+
+
+def test_clean_text_is_the_plain_replacement(spark):
+    draw, pieces = random.Random(5), ["a", "NULL", "b~!", "é", " ", "  ", "\t", "\n", "\r", "\u00a0", "\u3000", "\x0b", "\x7f"]
+    texts = [(k, "".join(draw.choice(pieces) for _ in range(draw.randint(0, 5)))) for k in range(3000)]
+    frame = spark.createDataFrame([*texts, (-1, None), (-2, "word " * 20_000 + "end"), (-3, "a \u2028"), (-4, "a b\u2028")], "k int, x string")
+    plain = text.null_text(text.squash_blanks(F.col("x")))
+    assert frame.filter(~text.clean_text(F.col("x")).eqNullSafe(plain)).collect() == []
     assert one(spark, text.null_text(text.squash_blanks(c)), x=raw) == clean
 
 

@@ -1,6 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from spendloom.functions.text import strip_blanks
 from spendloom.operators import catalogue, quality, silver, sketches
 from tests.award_rows import bronze
 from tests.conftest import rows
@@ -99,3 +102,24 @@ def test_stored_sketches_are_as_close_as_their_bound(spark):
         assert len(found) == exact.count() and all(r["within"] for r in found)
     whole = sketches.merged(stored_ones).select(sketches.estimate().alias("n")).first()["n"]
     assert abs(whole - 25_000) <= 25_000 * sketches.relative_bound() and sketches.relative_bound() < 0.05
+
+
+def test_generated_code_of_the_metrics_is_small_enough_to_compile(spark, tmp_path, capsys):
+    """The JVM interprets methods of more than 8,000 bytes."""
+    silver.refine(bronze(spark, {})).deduped.write.parquet(f"{tmp_path}/deduped")
+    typed = silver.type_and_clean(spark.read.parquet(f"{tmp_path}/deduped"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        quality.quality_checks(typed=typed).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_blanks_at_the_edges_and_inside_are_seen(spark):
+    texts = ["", "a", "a b", " a", "a ", "a  b", " a", "a　", "a \n", "a b", "\ta", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    plain = F.coalesce((t != strip_blanks(t)) | t.contains("  "), F.lit(False))
+    assert rows(frame.select(F.coalesce(quality._has_blanks(t), F.lit(False)))) == rows(frame.select(plain))
