@@ -159,10 +159,19 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.filter("_rn = 1").drop("_rn", "p_partkey")
 
 
+def _part_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as items with the vector of their number.
+
+    Merged, as files tell little about the size of the parts' texts: a broadcast of ten MB by its files is nine times
+    that on the driver, once for each reading.
+    """
+    vectors = table(spark, sf_dir, "embeddings")
+    return part_items(spark, sf_dir).hint("merge").join(vectors, F.col("p_partkey") == F.col("vec_id"))
+
+
 def item_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, embedding, label): the vector with a part's number is the vector of its item."""
-    vectors = table(spark, sf_dir, "embeddings")
-    joined = part_items(spark, sf_dir).join(vectors, F.col("p_partkey") == F.col("vec_id"))
+    joined = _part_vectors(spark, sf_dir)
     return joined.groupBy("item_id").agg(
         F.min_by("embedding", "vec_id").alias("embedding"), F.min_by("label", "vec_id").alias("label")
     )
@@ -170,8 +179,7 @@ def item_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query per embedding label: text and vector of the label's first item, which is also the target."""
-    vectors = table(spark, sf_dir, "embeddings")
-    joined = part_items(spark, sf_dir).join(vectors, F.col("p_partkey") == F.col("vec_id"))
+    joined = _part_vectors(spark, sf_dir)
     first = joined.groupBy("label").agg(
         F.min_by(F.struct("notice_title", "embedding", "item_id"), "vec_id").alias("q")
     )

@@ -11,6 +11,7 @@ from spendloom.functions.stemming import stem
 from spendloom.functions.text import english_stop_words
 from spendloom.operators import block_postings, fusion, spend, vector_cells, vector_search
 from spendloom.operators import text_index as ti
+from spendloom.plans import testbed
 from tests.conftest import rows
 
 DOCS = [
@@ -438,3 +439,13 @@ def test_vectors_move_to_few_tiles(spark):
     assert blocks(many, vector_search.BLOCK_ROWS) + blocks(many, vector_search.CORPUS_ROWS) < 100
     assert blocks(100_000, vector_search.BLOCK_ROWS) == blocks(20_000, vector_search.BLOCK_ROWS) == 8
     assert [blocks(n, vector_search.CORPUS_ROWS) for n in (0, 1, 3000)] == [1, 1, 2]
+
+
+def test_part_vectors_are_not_broadcast(spark, sf_dir):
+    """What is broadcast goes through the driver; the parts' texts are larger than their files tell."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for frame in (testbed.item_embeddings(spark, sf_dir), testbed.label_queries(spark, sf_dir)):
+            assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
