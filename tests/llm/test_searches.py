@@ -1,16 +1,20 @@
 """Nearest vectors, leaks, repeated passages and pages against brute force."""
 
+import os
 import random
+import time
 from collections import defaultdict
 from html.parser import HTMLParser
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spendloom.llm import ann_blocks, decontaminate, html_text, substring_dedup
 from spendloom.llm.queries import op1_html_text, op6_substring_dedup, oracle_sql, queries
+from spendloom.llm.stored import written
 from tests.oracle_check import compare, connect
 
 
@@ -223,6 +227,76 @@ def test_texts_that_share_a_phrase_do_not_hide_near_copies(spark):
     assert len({r.id for r in got}) >= passages - 1
 
 
+def noted(monkeypatch):
+    """The tables that substring_dedup writes from now on: label and rows."""
+    tables = []
+
+    def write(df, label):
+        table = written(df, label)
+        tables.append((label, table.count(), table))
+        return table
+
+    monkeypatch.setattr(substring_dedup, "written", write)
+    return tables
+
+
+def test_texts_that_share_a_phrase_are_not_paired(spark, monkeypatch):
+    """A group of texts that share no more than a phrase gives no pairs, beside a near copy in the same group."""
+    draw = random.Random(13)
+
+    def noise(n):
+        return [f"n{draw.randrange(10**6)}" for _ in range(n)]
+
+    phrase = [f"p{k}" for k in range(20)]
+    texts = {i: noise(60) + phrase + noise(60) for i in range(40)}
+    texts[100] = [*texts[20][:75], "changed", *texts[20][76:]]
+    tables = noted(monkeypatch)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
+    got = substring_dedup.repeated_passages(docs).collect()
+    assert {(r.id, r.first_id) for r in got} == {(100, 20)}
+    # All pairs of the 41 texts were compared before.
+    assert sum(n for label, n, _ in tables if label == "unsettled-pairs") <= 1
+
+
+def test_windows_that_may_be_similar_are_found():
+    """Runs with one change, an insertion or a lack pass; fewer common shingles, or a greater id, don't."""
+    t, rows = 46, []
+    base = list(range(1, 2 * t))
+    other = [200 + k % 50 for k in range(2 * t - 1)]
+    changed = [base[:60] + [99] + base[61:], base[:60] + [99] + base[60:-1], base[:60] + base[61:] + [99], base[:46] + other[46:55] + base[55:]]
+    for i, near in enumerate([base, *changed, other[:40] + base[40:53] + other[53:]]):
+        rows.append((7, i, i, i, 100, 0, 300, 0, bytes(near), [5], True))
+    rows.append((8, 0, 0, 0, 100, 0, 300, 0, bytes(base), [5], True))
+    names = ["key", "most", "id", "version", "place", "left", "right", "again", "nearby", "signs", "asks"]
+    table = pa.table([pa.array(x) for x in zip(*rows)], names=names)
+    own, first = substring_dedup.alike(table, t, 0.8)
+    found = set(zip(own.tolist(), first.tolist()))
+    assert {(1, 0), (2, 0), (3, 0), (4, 0)} <= found
+    assert not [x for x in found if 5 in x or 6 in x or x[0] <= x[1]]
+
+
+def test_scratch_tables_and_shuffles_go_when_they_are_read(spark, sf_dir, monkeypatch):
+    tables = noted(monkeypatch)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id as id", "text")
+    found = substring_dedup.repeated_passages(docs)
+    left = [label for label, n, table in tables if n and any(os.path.exists(f.removeprefix("file://")) for f in table.inputFiles())]
+    # All of them were left before.
+    assert set(left) <= {"repeated-passages", "repeated-rows", "crowded-values", "similar-windows", "unsettled-pairs"}
+    assert found.count() and "repeated-segments" in [label for label, _, _ in tables]
+
+    def shuffles():
+        blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+        return {str(blocks.apply(k).name()) for k in range(blocks.size()) if blocks.apply(k).name().startswith("shuffle_")}
+
+    before = shuffles()
+    # Collected and not counted, since counting shuffles too.
+    assert len(written(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "sums").collect()) == 100
+    deadline = time.time() + 20
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not [x for x in shuffles() - before if x.endswith(".data")]
+
+
 class Visible(HTMLParser):
     """Words outside head, scripts and styles, the brute way."""
 
