@@ -318,6 +318,38 @@ def test_stored_cells_are_exact_when_all_are_probed_and_grow(spark, tmp_path):
     assert rows(scoped, "query_id", "rank") == rows(vector_search.vector_search(frame, queries, 6, scope), "query_id", "rank")
 
 
+def test_copies_of_a_vector_are_scored_once_when_all_cells_are_probed(spark, tmp_path, monkeypatch):
+    data, frame = vectors(spark)
+    vector_cells.write_cells(frame, str(tmp_path), 8)
+    read = []
+
+    def search(cells, asked, k):
+        read.append(cells.count())
+        return vector_search.cell_search(cells, asked, k)
+
+    monkeypatch.setattr(vector_cells, "cell_search", search)
+    vector_cells.search_cells(spark, str(tmp_path), self_queries(frame.limit(3)), 6, probes=8).collect()
+    # All three copies were scored before.
+    assert read == [len(data)]
+
+
+@pytest.mark.parametrize(("n", "k"), [(3, 5), (1024, 1), (1025, 7), (6000, 20)])
+def test_products_in_single_precision_lose_no_item(n, k):
+    """Many vectors are equal or nearly so."""
+    draw = np.random.default_rng(n)
+    some = draw.normal(size=(n // 50 + 2, 64))
+    items = np.resize(some, (n, 64)) + draw.choice([0, 1e-9, 1e-7, 1e-5], size=(n, 1))
+    asked = draw.normal(size=(300, 64))
+    asked[:200] = items[draw.integers(0, n, 200)]
+    items, asked, ids = vector_search._unit(items), vector_search._unit(asked), draw.permutation(n)
+    query, item, score = vector_search._top_by_bounds(items, asked, ids, k)
+    scores = np.round(asked @ items.T, vector_search.SCORE_DIGITS) + 0.0
+    best = [np.lexsort((ids, -row))[:k] for row in scores]
+    assert query.tolist() == np.repeat(np.arange(300), min(n, k)).tolist()
+    assert item.tolist() == np.concatenate(best).tolist()
+    assert score.tolist() == [scores[q, i] for q, i in zip(query, item)]
+
+
 def test_only_probed_cells_are_read(spark, tmp_path):
     data, frame = vectors(spark)
     path = str(tmp_path)
