@@ -320,7 +320,7 @@ def test_stored_cells_are_exact_when_all_are_probed_and_grow(spark, tmp_path):
 
 def test_copies_of_a_vector_are_scored_once_when_all_cells_are_probed(spark, tmp_path, monkeypatch):
     data, frame = vectors(spark)
-    vector_cells.write_cells(frame, str(tmp_path), 8)
+    vector_cells.write_cells(frame.unionByName(frame.where("item_id % 2 = 0")), str(tmp_path), 8)
     read = []
 
     def search(cells, asked, k):
@@ -328,8 +328,11 @@ def test_copies_of_a_vector_are_scored_once_when_all_cells_are_probed(spark, tmp
         return vector_search.cell_search(cells, asked, k)
 
     monkeypatch.setattr(vector_cells, "cell_search", search)
-    vector_cells.search_cells(spark, str(tmp_path), self_queries(frame.limit(3)), 6, probes=8).collect()
-    # All three copies were scored before.
+    queries = self_queries(frame.limit(50))
+    found = vector_cells.search_cells(spark, str(tmp_path), queries, 6, probes=8).select("query_id", "item_id", "score", "rank")
+    exact = vector_search.vector_search(frame, queries, 6).select("query_id", "item_id", "score", "rank")
+    assert rows(found, "query_id", "rank") == rows(exact, "query_id", "rank")
+    # All three copies were scored before, of rows that come twice too.
     assert read == [len(data)]
 
 
